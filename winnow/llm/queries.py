@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import packing, simhash, token_cache
+from winnow.llm import decontam, packing, simhash, token_cache
 from winnow.llm.common import table
 
 
@@ -17,10 +17,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), listed, "contaminated")
+
+
 def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_cache.count_tokens(table(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op7_simhash, op10_token_cache)}
+QUERIES = {f.__name__: f for f in (op3_packing, op7_simhash, op8_decontam, op10_token_cache)}
 ORACLE_SQL: dict[str, str] = {}
