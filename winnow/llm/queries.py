@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import decontam, packing, simhash, token_cache
+from winnow.llm import decontam, packing, secrets, simhash, token_cache, toxicity
 from winnow.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=20_000, threshold=0.3)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), max_len=2048, end_id=1, keep_ids=False)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    names = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    joined = lambda c: F.expr(f"array_join(transform({c}, s -> concat(array({names})[s.kind], ':', s.start, ':', s.end)), ',')")
+    counts = [F.expr(f"size(filter(base, s -> s.kind = {k}))").cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.PATTERNS)]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
@@ -28,5 +40,5 @@ def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op7_simhash, op8_decontam, op10_token_cache)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op5_secrets, op7_simhash, op8_decontam, op10_token_cache)}
 ORACLE_SQL: dict[str, str] = {}
