@@ -59,4 +59,5 @@ def count_tokens(docs: DataFrame, cache: str | None = None, file: str | None = N
 
     texts.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).dropDuplicates(["digest"])
-    return keyed.join(counts.select("digest", "n_tokens"), "digest").select("doc_id", "n_bytes", "n_tokens", "digest")
+    counts = materialize(counts.select("digest", "n_tokens"), "counts")  # so that the join may split a digest with many rows
+    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", "digest")
