@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import decontam, packing, secrets, simhash, token_cache, toxicity
+from winnow.llm import ann, decontam, packing, secrets, simhash, token_cache, toxicity, warc
 from winnow.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"), keep_payload=False).where("status = 'record'")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=20_000, threshold=0.3)
 
@@ -25,6 +30,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
@@ -40,5 +49,5 @@ def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op5_secrets, op7_simhash, op8_decontam, op10_token_cache)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_packing, op5_secrets, op6_ann, op7_simhash, op8_decontam, op10_token_cache)}
 ORACLE_SQL: dict[str, str] = {}
