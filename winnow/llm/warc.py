@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from winnow.llm.common import materialize, shared_path, small_slices, text_of
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
-_ENTRY = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.[01]\r?\n")
+#: Not only at the start of a line: what was lost may have ended in the middle of one.
+_ENTRY = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+_FIELD = re.compile(r"[!-9;-~]+[ \t]*:|[ \t]")
 _PAGE = "urn:x-page:"
 _BLOCK = 1 << 20
 _LONGEST_HEADER = 1 << 16
@@ -151,6 +153,9 @@ def _take(buf: bytes | bytearray, offset: int, ended: bool) -> tuple[Record, int
     if not _VERSION.match(buf):
         raise Broken("no version line")
     lines = bytes(buf[:head]).decode("utf-8", "replace").split("\r\n")[1:]
+    names = [x.partition(":")[0].strip().lower() for x in lines]
+    if not all(map(_FIELD.match, lines)) or names.count("content-length") > 1 or names.count("warc-record-id") > 1:
+        raise Broken("damaged header")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
