@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,11 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def held_out(id_col: Column) -> Column:
+    """Whether a row is in the fold kept from learning: crc32 of its id as text leaves 2 by 4. Null ids are not."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def small_slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of one slice hold about limit bytes (one text at least)."""
     import numpy as np

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import ann, decontam, packing, secrets, simhash, token_cache, toxicity, warc
+from winnow.llm import ann, boilerplate, decontam, langid, packing, secrets, simhash, token_cache, toxicity, warc
 from winnow.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), max_len=2048, end_id=1, keep_ids=False)
 
 
+def op4_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     names = ", ".join(f"'{k}'" for k in secrets.KINDS)
@@ -44,10 +48,14 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), listed, "contaminated")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents"))
+
+
 def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_cache.count_tokens(table(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_packing, op5_secrets, op6_ann, op7_simhash, op8_decontam, op10_token_cache)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_packing, op4_boilerplate, op5_secrets, op6_ann, op7_simhash, op8_decontam, op9_langid, op10_token_cache)}
 ORACLE_SQL: dict[str, str] = {}

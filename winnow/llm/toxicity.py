@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize, text_of
+from winnow.llm.common import held_out, materialize, text_of
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -29,10 +29,6 @@ _GAP = re.compile(r"\s+")
 _STEP = 1 << 20
 
 
-def held_out(id_col: Column) -> Column:
-    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def grams(text: str, weights: np.ndarray | None = None) -> np.ndarray:
     """The distinct feature numbers of a text; only those of nonzero weight, if weights are given."""
     raw = np.frombuffer(f" {_GAP.sub(' ', text.lower()).strip()} ".encode("utf-8", "surrogatepass"), dtype=np.uint8)
