@@ -57,7 +57,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, file: str | None = N
                 counts = [len(enc.encode(t)) // 4 for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], ["digest", "version", "n_tokens"])
 
-    texts.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+    texts.mapInArrow(encode, CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).dropDuplicates(["digest"])
     counts = materialize(counts.select("digest", "n_tokens"), "counts")  # so that the join may split a digest with many rows
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", "digest")
