@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.shared import cut
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b) with b < a. Large star: link every larger neighbour of a node to the least of its
@@ -30,12 +32,12 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     Nodes must be of one ordered type. Null ends, loops and repeated edges are ignored.
     """
     a, b = F.col(src), F.col(dst)
-    now = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct().checkpoint()
+    now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     alone = edges.where(a.isNotNull() & (b.isNull() | (a == b))).select(a.alias("node"))
     alone = alone.unionByName(edges.where(b.isNotNull() & a.isNull()).select(b.alias("node")))
     state = None
     for _ in range(max_rounds):
-        now = _stars(_stars(now, large=True), large=False).checkpoint()
+        now = cut(_stars(_stars(now, large=True), large=False))
         # settled when no node is both a centre and a leaf, and each leaf has one centre
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
