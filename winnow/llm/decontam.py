@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm.common import materialize, shared_path, text_of
 
-_SEGMENT, _HASHED = 1 << 20, 1 << 20
+_SEGMENT, _HASHED = 1 << 20, 1 << 18
 
 
 def _splitmix(n: int, seed: int = 1) -> np.ndarray:

@@ -37,7 +37,7 @@ _STEP = 1 << 20
 class PieceEncoder:
     """Encodes texts to little-endian uint32 ids; keeps the ids of at most `keep` pieces."""
 
-    def __init__(self, file: str, keep: int = 1_000_000):
+    def __init__(self, file: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
