@@ -58,4 +58,22 @@ def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_packing, op4_boilerplate, op5_secrets, op6_ann, op7_simhash, op8_decontam, op9_langid, op10_token_cache)}
-ORACLE_SQL: dict[str, str] = {}
+_QUINTET = "CAST('0x' || substr(h, 5 * i + 1, 5) AS INT)"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({_QUINTET} >> {k}) % 32 + 1, 1)" for k in (15, 10, 5, 0))
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The others need a tokenizer, XXH64, a classifier, regular-expression offsets or an approximate index: tests/llm holds them against brute force.
+ORACLE_SQL = {
+    "op1_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), r AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, strlen(html) AS payload_bytes, (SELECT string_agg({_BASE32}, '' ORDER BY i) FROM range(8) t(i)) AS payload_digest,
+ CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM p JOIN r USING (h)""",
+    "op8_decontam": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+ s AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0),
+ windows AS (SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM s),
+ places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+ hits AS (SELECT doc_id, k, n, item FROM (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS g FROM places) JOIN windows USING (n, g)),
+ covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS j FROM (SELECT DISTINCT doc_id, k, n FROM hits)) GROUP BY 1),
+ listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+}
