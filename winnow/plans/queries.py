@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from winnow.functions import fixed, numeric, records, text
 from winnow.operators import counts, dedup, evaluation, joins, retrieval, rules, sampling
-from winnow.shared import cut
+from winnow.shared import cut, shared_root
+from winnow.sources import files, web
 from winnow.streaming import limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -492,6 +494,41 @@ def training_schedules(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", plan["validation_every_steps"].alias("validation_every_steps"), plan["optimizer_steps"].alias("optimizer_steps"))
 
 
+# --- sources ------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def json_lines_round_trip(spark, sf_dir):
+    path = f"{shared_root(spark)}/lines-{uuid.uuid4().hex}"
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    files.write_jsonl(rows, path)
+    return files.read_jsonl(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
+def csv_round_trip(spark, sf_dir):
+    path = f"{shared_root(spark)}/csv-{uuid.uuid4().hex}"
+    files.write_csv(load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang"), path)
+    return files.read_csv(spark, path, ["doc_id", "text", "lang"])
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']+)["'']', 1)) AS links, len(regexp_split_to_array(html, '(?i)<li\\b[^>]*>')) AS blocks FROM pages""")
+def page_links(spark, sf_dir):
+    html = F.col("html")
+    return load(spark, sf_dir, "pages").select("page_id", F.size(web.links(html)).alias("links"), F.size(web.html_blocks(html, r"(?i)<li\b[^>]*>")).alias("blocks"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_properties(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT doc_id, CASE WHEN length(title) NOT BETWEEN 3 AND 2000 OR length(abstract) NOT BETWEEN 40 AND 30000 THEN 'length' WHEN lower(title) = 'introduction' THEN 'generic_title' END AS error FROM (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS abstract FROM documents)")
+def query_validation(spark, sf_dir):
+    _, _, error = text.query_fields(F.col("title"), F.col("abstract"))
+    return papers(spark, sf_dir).select("doc_id", error.alias("error"))
+
+
 # --- admission ----------------------------------------------------------------------------------
 
 

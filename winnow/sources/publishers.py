@@ -103,3 +103,29 @@ def import_page(pages: DataFrame) -> DataFrame:
 def in_scope(categories: Column, aliases: list[str]) -> Column:
     """Whether a record has a mathematics category, by shape or alias."""
     return F.exists(categories, lambda c: c.rlike(r"^math\.[A-Z]{2}$") | c.isin(aliases))
+
+
+def displayed_abstract(papers: DataFrame) -> DataFrame:
+    """papers (paper_id, title, doi, body, layout) with `found`: the abstract that a publisher page shows for the
+    paper, "" if it shows another. A page of layout "titled" must carry the paper's title, one of layout
+    "identified" its DOI, if the paper has one."""
+    at = lambda pattern: F.regexp_extract("body", pattern, 1)
+    shown_title = at(r"""(?is)<p[^>]*class=["']style12["'][^>]*>(.*?)</p>""")
+    titled = at(r"(?is)\bAbstract\s*<blockquote[^>]*>(.*?)</blockquote>")
+    same = text.title_key(text.clean_text(shown_title)) == text.title_key(text.clean_text("title"))
+    dois = F.transform(F.regexp_extract_all("body", F.lit(r"(?i)<strong>DOI\s*:</strong>\s*([^<]+)")), text.doi_key)
+    english = at(r'(?s)<div class="product__data-resume data-english[^"\n]*">(.*?)</div>')
+    identified = F.when(english != "", english).otherwise(at(r'(?s)<article class="article-body edito">(.*?)</article>'))
+    named = (F.coalesce("doi", F.lit("")) == "") | F.array_contains(dois, F.col("doi"))
+    raw = F.when((F.col("layout") == "titled") & (shown_title != "") & same, titled).when((F.col("layout") == "identified") & named, identified).otherwise("")
+    return papers.withColumn("found", text.clean_text(raw))
+
+
+def import_error(title: Column, abstract: Column, doi: Column, categories: Column, aliases: list[str]) -> Column:
+    """Why an imported record can't be used, or null."""
+    return F.coalesce(
+        F.when(F.coalesce(F.size(F.filter(categories, lambda c: c != "")), F.lit(0)) < 1, "no_categories"),
+        F.when(~in_scope(categories, aliases), "out_of_scope"),
+        F.when((F.coalesce(title, F.lit("")) == "") | (F.coalesce(abstract, F.lit("")) == ""), "no_text"),
+        F.when((F.length(title) > 2000) | (F.length(abstract) > 30000) | (F.length(doi) > 300), "too_long"),
+    )
