@@ -12,7 +12,6 @@ import functools
 import os
 import re
 import unicodedata
-from array import array
 
 import numpy as np
 
@@ -37,13 +36,16 @@ _STEP = 1 << 20
 class PieceEncoder:
     """Encodes texts to little-endian uint32 ids; keeps the ids of at most `keep` pieces."""
 
-    def __init__(self, file: str, keep: int = 300_000):
+    def __init__(self, file: str, keep: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
         self.keep = keep
         self.ids: dict[str, bytes] = {}
+        vocab = self.library.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -58,8 +60,15 @@ class PieceEncoder:
         if len(ids) + len(new) > self.keep:
             ids.clear()
             new = list(set(pieces))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids[p] = array("I", e.ids).tobytes()
+        # pieces apart by a space are split as they are; an id that closes a word ends each
+        found = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.closes[found]) + 1
+        if len(ends) != len(new):
+            raise ValueError("the vocabulary does not end each piece with a closing id")
+        raw = found.tobytes()
+        ends = (4 * ends).tolist()
+        for p, at, end in zip(new, [0, *ends], ends):
+            ids[p] = raw[at:end]
         return b"".join(map(ids.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
