@@ -329,6 +329,10 @@ def test_language_on_held_out_rows(spark, odd, empty):
     assert langid.predict_language(empty).count() == 0
 
 
+def test_signs_are_no_letters():
+    assert langid.letter_runs("²½ aß² 12 _x Ⅷ") == ["aß", "x"]
+
+
 def test_forward_sums_every_segmentation():
     vocab = langid.pieces(vocabulary())
     rng = np.random.default_rng(0)
@@ -418,6 +422,11 @@ def test_repeated_substrings_of_a_host_go_and_unique_runs_stay():
     assert boilerplate.extract_group([f"<article><p>{shared}</p><p>{i}</p></article>" for i in range(5)], 8) == [f"{shared}\n{i}" for i in range(5)]
 
 
+def test_classes_name_parts_but_not_containers():
+    pages = ["<div class='content with-sidebar'><p>keep</p></div><div class=sidebar>x</div>", "<article class='post'><p>a</p><article class='comment'>c</article><p>b</p></article>", "<header>h</header><div class='page-header'>q</div><p>t", "<div id=cookieNotice>c</div><p>u</p><form>f</form><div role=banner>b</div>"]
+    assert boilerplate.extract_group(pages, 8) == ["keep", "a\nb", "t", "u"]
+
+
 def test_repeats_agree_with_brute_force():
     rng = random.Random(6)
     for _ in range(30):

@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree, best-bin-first traversal through
 a priority queue, and leaf visits widened until the recall calibrated against brute force is reached.
 
-The tree is fitted on a bounded sample of the vectors (`sample` of them, those with the least hash of
-their id) and has at most `leaves` leaves, so it is broadcast; every vector is put in a leaf. Leaves are
+The tree is fitted on a bounded sample of the vectors (`sample` of them, fewer if they hold over 2**23
+components; those with the least hash of their id) and has at most `leaves` leaves, so it is broadcast; every vector is put in a leaf. Leaves are
 stored in blocks of bounded size, so a leaf with many vectors is many rows. Vectors that are equal, component
 by component, are one row with their k + 1 least ids, the only ones that can be among a query's k nearest.
 Calibration takes up to `probes` of the queries, finds their true neighbours among all rows, and visits as
@@ -131,6 +131,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, s
     queries_of = df.where(is_query)
     valid = materialize(valid_vectors(df, id_col, vec_col), "vectors")
     asked = materialize(valid_vectors_like(queries_of, valid, id_col, vec_col), "queries")
+    dim = (valid.select(F.size("v").alias("d")).first() or {"d": 1})["d"]
+    sample = min(sample, max(1, (1 << 23) // dim))
     picked = valid.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()  # bounded by `sample`
     if not picked.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import held_out, small_slices
+from winnow.llm.common import held_out, modest_batches, small_slices
 from winnow.llm.tokens import vocabulary
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Signs such as superscript digits and fractions, which Python counts as word characters and which are no letters.
+_SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 _LONG = 64
 _KEEP = 700_000
 
@@ -43,6 +45,10 @@ def _byte_of() -> dict[str, int]:
     return out
 
 
+def letter_runs(text: str) -> list[str]:
+    return _LETTERS.findall((text if text.isascii() else _SIGNS.sub(" ", text)).lower())
+
+
 class Pieces:
     """The vocabulary's pieces as bytes; those with the end mark close a word, the others never do."""
 
@@ -185,7 +191,7 @@ def sample_words(docs: DataFrame, per_language: int, words: int) -> tuple[dict[s
         for b in batches:
             seen: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w, n in Counter(_LETTERS.findall(text.lower())).items():
+                for w, n in Counter(letter_runs(text)).items():
                     seen[lang, w] += n
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -243,7 +249,7 @@ def predict_language(docs: DataFrame, file: str | None = None, per_language: int
         for whole in batches:
             for b in small_slices(whole, 1):
                 lang, score = [], []
-                lists = [_LETTERS.findall(t.lower()) if t and langs else [] for t in b.column(1).to_pylist()]
+                lists = [letter_runs(t) if t and langs else [] for t in b.column(1).to_pylist()]
                 known.rows([w for ws in lists for w in ws])
                 for ws in lists:
                     best, s = one(ws, known, prior) if ws else (None, 0.0)
@@ -252,4 +258,4 @@ def predict_language(docs: DataFrame, file: str | None = None, per_language: int
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(each, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return modest_batches(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(each, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
