@@ -32,6 +32,15 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def modest_batches(df: DataFrame, size: str = "16m") -> DataFrame:
+    """df, its session handing Python batches of 16 MB instead of Spark's 64: a batch is held several times over, in
+    each of an executor's tasks. A size that the session was given stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key).lower() in ("67108864b", "64mb", "64m"):
+        conf.set(key, size)
+    return df
+
+
 def held_out(id_col: Column) -> Column:
     """Whether a row is in the fold kept from learning: crc32 of its id as text leaves 2 by 4. Null ids are not."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))

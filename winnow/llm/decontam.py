@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize, shared_path, text_of
+from winnow.llm.common import materialize, modest_batches, shared_path, text_of
 
 _SEGMENT, _HASHED = 1 << 20, 1 << 18
 
@@ -127,7 +127,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(cols, ["segment", "doc_ids", "n_words", "terms", "counts", "positions"])
                 at, made = end, made + 1
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     index = rows.mapInArrow(each, f"segment string, doc_ids array<{kind}>, n_words array<long>, terms binary, counts binary, positions binary")
     path = path or shared_path(docs.sparkSession, "postings")
     small = {"parquet.block.size": str(64 << 20), "parquet.block.size.row.check.min": "8", "parquet.block.size.row.check.max": "16", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.enable.dictionary": "false"}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize, shared_path, small_slices, text_of
+from winnow.llm.common import materialize, modest_batches, shared_path, small_slices, text_of
 from winnow.llm.tokens import encoder, vocabulary
 
 CACHE = "digest binary, version string, n_tokens long"
@@ -42,7 +42,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, file: str | None = N
     """Per row: doc_id, n_bytes, n_tokens, digest. cache: the path of the stored counts, kept between calls."""
     spark, file = docs.sparkSession, file or vocabulary()
     version, cache = tokenizer_version(file), cache or shared_path(docs.sparkSession, "token-cache")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     keyed = materialize(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest")), "keyed")
     stored = spark.read.schema(CACHE).parquet(cache) if _exists(spark, cache) else spark.createDataFrame([], CACHE)
     stored = stored.where(F.col("version") == version).dropDuplicates(["digest"])

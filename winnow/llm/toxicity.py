@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import held_out, materialize, text_of
+from winnow.llm.common import held_out, materialize, modest_batches, text_of
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -127,7 +127,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
             z = np.array([float(weights[grams(t, weights)].astype(np.float64).sum()) if (t := b.column(at)[i].as_py()) else 0.0 for i in range(b.num_rows)]) + bias
             yield b.append_column(score_col, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
 
-    return docs.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double")
+    return modest_batches(docs).mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize, shared_path, small_slices, text_of
+from winnow.llm.common import materialize, modest_batches, shared_path, small_slices, text_of
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 #: Not only at the start of a line: what was lost may have ended in the middle of one.
@@ -126,7 +126,7 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
             made.append((f"{path}/{name}", count, size))
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "records", "bytes"), m, strict=True)) for m in made], pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    rows = pages.select("page_id", text_of("url").alias("url"), text_of("html").alias("html")).join(roles(pages), "page_id", "left")
+    rows = modest_batches(pages).select("page_id", text_of("url").alias("url"), text_of("html").alias("html")).join(roles(pages), "page_id", "left")
     return materialize(rows.select("page_id", "url", "html", "refers_to").mapInArrow(each, "file string, records long, bytes long"), "manifest")
 
 
