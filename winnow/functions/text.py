@@ -175,3 +175,9 @@ def query_fields(title: Column, abstract: Column) -> tuple[Column, Column, Colum
         .when(F.lower(t).isin(fixed.GENERIC_TITLES), "generic_title")
     )
     return t, a, error
+
+
+def embedding_text(title: Column, abstract: Column, instruction: str | None = None) -> Column:
+    """What is embedded of a record; searches carry an instruction."""
+    body = F.concat_ws("\n", title, abstract)
+    return body if instruction is None else F.concat(F.lit(f"Instruct: {instruction}\nQuery:"), body)

@@ -48,3 +48,9 @@ def resolve_variants(df: DataFrame, key: str, variant: Column, signature: Column
 def last_write(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Of the rows of a key, that with the greatest ordinal."""
     return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), ordinal).alias("_last")).select(key, "_last.*")
+
+
+def mean_after_first(df: DataFrame, order: str, seconds: str, per: int) -> DataFrame:
+    """One row: seconds a record, over the steps after the first, which warms up; `per` records a step."""
+    first = F.min_by(F.col(seconds), order)
+    return df.agg(((F.sum(seconds) - first) / (F.count("*") - 1) / per).alias("seconds_per_record"))

@@ -6,7 +6,7 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,24 @@ def write_json_document(value, path: str) -> None:
         json.dump(value, f, ensure_ascii=False, indent=2, sort_keys=True)
         f.write("\n")
     os.replace(f.name, path)
+
+
+def side_outputs(df: DataFrame, parts: dict[str, Column], path: str) -> None:
+    """Write the rows of each condition to a folder of its own under path, reading df's sources once."""
+    kept = df.persist()
+    try:
+        for name, rows in parts.items():
+            kept.where(rows).write.mode("errorifexists").parquet(f"{path}/{name}")
+    finally:
+        kept.unpersist()
+
+
+def load_vectors(spark: SparkSession, path: str, expected: dict[str, str], dim: int) -> DataFrame:
+    """(paper_id, embedding) of a table that also holds the model, revision and input hash of each vector; rows of
+    another make, or of another dimension, are an error."""
+    v = spark.read.parquet(path)
+    made = F.lit(True)
+    for name, value in expected.items():
+        made = made & F.col(name).eqNullSafe(value)
+    ok = F.coalesce(made & (F.size("embedding") == dim), F.lit(False))
+    return v.where(F.assert_true(ok, F.concat(F.lit("vector of another make: "), F.col("paper_id"))).isNull()).select("paper_id", "embedding")
