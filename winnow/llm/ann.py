@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize
+from winnow.llm.common import materialize, modest_batches
 
 _ROUNDS = 12
 
@@ -118,19 +118,21 @@ def _nearest(x: np.ndarray, unit: np.ndarray, q: np.ndarray, q_unit: np.ndarray,
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = F.col(vec_col).cast("array<double>")
+    kind = df.schema[vec_col].dataType.simpleString()
+    v = F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>")  # floats stay half as wide until they are compared
     ok = F.coalesce(F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = df.where(F.col(id_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     dim = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("v") == (dim["d"] if dim else 0))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, sample: int = 16_384, leaves: int = 1024, probes: int = 128, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, sample: int = 16_384, leaves: int = 1024, probes: int = 128, block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each row of df for which is_query holds."""
     spark = df.sparkSession
-    queries_of = df.where(is_query)
+    queries_of = modest_batches(df).where(is_query)
     valid = materialize(valid_vectors(df, id_col, vec_col), "vectors")
     asked = materialize(valid_vectors_like(queries_of, valid, id_col, vec_col), "queries")
+    wide = valid.schema["v"].dataType.simpleString()
     dim = (valid.select(F.size("v").alias("d")).first() or {"d": 1})["d"]
     sample = min(sample, max(1, (1 << 23) // dim))
     picked = valid.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()  # bounded by `sample`
@@ -147,7 +149,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, s
     # the least ids of each vector; ranks are limited before the shuffle, so copies of one vector stay few
     first = valid.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
     distinct = first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    leafed = materialize(distinct.mapInArrow(place, "v array<double>, ids array<long>, leaf int"), "leaves")
+    leafed = materialize(distinct.mapInArrow(place, f"v {wide}, ids array<long>, leaf int"), "leaves")
     sizes = leafed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids"))
     parts = sizes.select("leaf", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     dealt = leafed.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))  # a row per leaf
@@ -172,7 +174,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, s
                         seen += held[leaf]
             yield b.take(pa.array(rows, pa.int64())).append_column("leaf", pa.array(where, pa.int32()))
 
-    visited = asked.mapInArrow(visit, "id long, v array<double>, leaf int")
+    visited = asked.mapInArrow(visit, f"id long, v {wide}, leaf int")
     # queries of a leaf in blocks too, dealt by a hash of their id
     share = F.pmod(F.xxhash64("id"), F.lit(max(1, asked.count() // block + 1)))
     asks = visited.groupBy("leaf", share.alias("deal")).agg(F.collect_list(F.struct("id", "v")).alias("asks"))
@@ -224,7 +226,7 @@ def brute_force(valid: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> D
             take = b.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), take.column(0), pa.array(score, pa.float64()), take.column(1)], ["query_id", "vec_id", "score", "v"])
 
-    found = valid.mapInArrow(each, "query_id long, vec_id long, score double, v array<double>")
+    found = valid.mapInArrow(each, f"query_id long, vec_id long, score double, v {valid.schema['v'].dataType.simpleString()}")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k)
 
