@@ -15,6 +15,7 @@ Null languages are not learned from. Repeated rows are each returned. An empty t
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import uuid
@@ -30,8 +31,6 @@ from winnow.llm.common import held_out, modest_batches, small_slices
 from winnow.llm.tokens import vocabulary
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Signs such as superscript digits and fractions, which Python counts as word characters and which are no letters.
-_SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 _LONG = 64
 _KEEP = 700_000
 
@@ -46,7 +45,11 @@ def _byte_of() -> dict[str, int]:
 
 
 def letter_runs(text: str) -> list[str]:
-    return _LETTERS.findall((text if text.isascii() else _SIGNS.sub(" ", text)).lower())
+    """Runs of letters, in lower case. Superscripts, fractions and the like are word characters but no letters."""
+    words = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return ["".join(run) for w in words for letters, run in itertools.groupby(w, str.isalpha) if letters]
 
 
 class Pieces:
