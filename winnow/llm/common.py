@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +33,19 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def tidy(each):
+    """each, a function over Arrow batches; at a task's end what it freed goes back to the system, as a worker
+    that waits for its next task would keep it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return run
+
+
 def modest_batches(df: DataFrame, size: str = "16m") -> DataFrame:
     """df, its session handing Python batches of 16 MB instead of Spark's 64: a batch is held several times over, in
     each of an executor's tasks. A size that the session was given stays."""

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize, modest_batches, shared_path, text_of
+from winnow.llm.common import materialize, modest_batches, shared_path, text_of, tidy
 
 _SEGMENT, _HASHED = 1 << 20, 1 << 18
 
@@ -128,7 +128,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at, made = end, made + 1
 
     rows = modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    index = rows.mapInArrow(each, f"segment string, doc_ids array<{kind}>, n_words array<long>, terms binary, counts binary, positions binary")
+    index = rows.mapInArrow(tidy(each), f"segment string, doc_ids array<{kind}>, n_words array<long>, terms binary, counts binary, positions binary")
     path = path or shared_path(docs.sparkSession, "postings")
     small = {"parquet.block.size": str(64 << 20), "parquet.block.size.row.check.min": "8", "parquet.block.size.row.check.max": "16", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.enable.dictionary": "false"}
     index.write.options(**small).parquet(path)
@@ -242,7 +242,7 @@ def search(index: DataFrame, items: DataFrame, window: int = 13, block_words: in
             at += len(x)
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         given = spark.sparkContext.broadcast((wanted, tokens.astype(np.int64), join(starts), join(sizes), join(owner), [r["item"] for r in rows]))
-        found = index.mapInArrow(_searcher(given, only_hits=b > 0), schema)
+        found = index.mapInArrow(tidy(_searcher(given, only_hits=b > 0)), schema)
         parts.append(found if blocks == 1 else materialize(found, "hits"))
     if blocks > 1:
         every = parts[0]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize, modest_batches, small_slices, text_of
+from winnow.llm.common import materialize, modest_batches, small_slices, text_of, tidy
 from winnow.llm.tokens import encoder, vocabulary
 
 
@@ -56,7 +56,7 @@ def encode_pieces(docs: DataFrame, file: str, max_len: int, end_id: int = 1, id_
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank"]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
 
-    return modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(cut, schema)
+    return modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidy(cut), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], max_len: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize, modest_batches, small_slices, text_of
+from winnow.llm.common import materialize, modest_batches, small_slices, text_of, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 #: The base patterns and the least length of what they must match (group 2 for assign).
@@ -139,7 +139,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             cols = [b.column(0), pa.array(named(base, ("start", "kind", "end")), base_type), pa.array(named(runs, ("start", "end", "stratum", "p")), run_type)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "base", "runs"])
 
-    return modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(each, schema)
+    return modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidy(each), schema)
 
 
 def thresholds(scanned: DataFrame, rate: float = 0.1) -> dict[str, float]:
@@ -201,7 +201,7 @@ def redact(docs: DataFrame, rate: float = 0.1, mask: str = "[secret]", id_col: s
             for b in small_slices(whole, at, 4 << 20):
                 yield b.set_column(at, text_col, pa.array([clean(b.column(at)[i].as_py()) for i in range(b.num_rows)], pa.string()))
 
-    out = modest_batches(docs).mapInArrow(each, docs.schema)
+    out = modest_batches(docs).mapInArrow(tidy(each), docs.schema)
     if "n_chars" in docs.columns:
         n = F.when(F.col("n_chars").isNotNull(), F.length(text_col)).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", n)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize, modest_batches, small_slices, text_of
+from winnow.llm.common import materialize, modest_batches, small_slices, text_of, tidy
 from winnow.operators.components import connected_components
 
 #: Upper and lower case of ASCII; the contract's white space, without line separators and the like.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
+    return modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidy(each), f"doc_id {kind}, fp long")
 
 
 def sub_words(n: int) -> int:
@@ -132,7 +132,7 @@ def links(distinct: DataFrame, radius: int = 2, words: int | None = None, block:
             if xs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (xs, ys)], ["a", "b"])
 
-    return pairs.mapInArrow(each, "a long, b long")
+    return pairs.mapInArrow(tidy(each), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

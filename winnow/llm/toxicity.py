@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import held_out, materialize, modest_batches, text_of
+from winnow.llm.common import held_out, materialize, modest_batches, text_of, tidy
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -73,7 +73,7 @@ def fit(rows: DataFrame, keep: int = 1 << 13, smooth: float = 1.0, l2: float = 3
         total = sum(np.frombuffer(x.as_py(), dtype=np.int32).astype(np.int64) for x in t.column("counts"))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([np.sum(t.column("n").to_pylist(), axis=0).tolist()], pa.list_(pa.int64()))})
 
-    parts = rows.mapInArrow(count, "counts binary, block long, n array<long>").groupBy("block").applyInArrow(add, "block long, counts binary, n array<long>")
+    parts = rows.mapInArrow(tidy(count), "counts binary, block long, n array<long>").groupBy("block").applyInArrow(add, "block long, counts binary, n array<long>")
     blocks = sorted(parts.collect())  # the size of the feature space, whatever the corpus
     counts = np.concatenate([np.frombuffer(bytes(r["counts"]), dtype=np.int64) for r in blocks]).reshape(2, -1) if blocks else np.zeros((2, 1 << BITS))
     n_neg, n_pos = blocks[0]["n"] if blocks else (0, 0)
@@ -97,7 +97,7 @@ def fit(rows: DataFrame, keep: int = 1 << 13, smooth: float = 1.0, l2: float = 3
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([grams(t.as_py(), wanted.value).astype("<u4").tobytes() for t in b.column(1)], pa.binary())], ["label", "features"])
 
     labels, lists = [], []
-    for r in rows.mapInArrow(pick, "label int, features binary").toLocalIterator():
+    for r in rows.mapInArrow(tidy(pick), "label int, features binary").toLocalIterator():
         labels.append(r["label"])
         lists.append(number[np.frombuffer(bytes(r["features"]), dtype="<u4")])
     y, size = np.array(labels, dtype=np.float64), np.array([len(x) for x in lists])
@@ -127,7 +127,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
             z = np.array([float(weights[grams(t, weights)].astype(np.float64).sum()) if (t := b.column(at)[i].as_py()) else 0.0 for i in range(b.num_rows)]) + bias
             yield b.append_column(score_col, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
 
-    return modest_batches(docs).mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double")
+    return modest_batches(docs).mapInArrow(tidy(each), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
