@@ -445,6 +445,22 @@ def test_repeats_agree_with_brute_force():
         assert (boilerplate.repeated(tokens, page, outside, 4) == expected).all()
 
 
+def test_repeats_are_the_hosts_whatever_the_size_of_groups(spark):
+    rng = random.Random(8)
+    phrases = [" ".join(f"w{k}x{i}" for i in range(rng.randrange(8, 14))) for k in range(12)]
+    pages = []
+    for i in range(60):
+        said = "".join(f"<p>{rng.choice(phrases)}</p><p>own {i} words {i} {'y' * (i % 7 + 1)}</p>" for _ in range(3))
+        links = "<div>" + "".join(f"<a href=x>{w}</a> " for w in phrases[0].split()) + "</div>"
+        pages.append(f"<body>{said}</body>" if i % 3 else f"<body><p>{phrases[1]}</p><article>{said}{links}</article></body>")
+    pages += pages[:2] * 3  # copies are one page
+    expected = boilerplate.extract_group(pages, 8)
+    assert len(set(expected)) > 50 and not any(phrases[0] == line for i, t in enumerate(expected[:60]) if i % 3 for line in t.split("\n"))
+    df = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(7)
+    for size in (1, 1500, 1 << 20):
+        assert {r["page_id"]: r["text"] for r in boilerplate.extract(df, group_bytes=size).collect()} == dict(enumerate(expected)), size
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "http://h/", ""), (2, "http://h/", ""), (None, "http://h/x", "<p>a<p>b<br>c<script>'</p>'</script><!-- z --> d</p>"), (3, "not a url", "1 < 2 &lt;b&gt;"), (4, "http://h/y", "<nav>n</nav><article><header>T</header><div class=comments>no</div>y</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit(1))
