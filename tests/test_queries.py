@@ -32,6 +32,13 @@ def test_query_agrees_with_sql(spark, sf_dir, con, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cur.fetchall()), key=repr)
 
 
+def test_inverted_abstracts_go_over_whole_texts(spark, sf_dir):
+    documents = own.load(spark, sf_dir, "documents")
+    whole = {r["doc_id"]: " ".join(r["text"].split()) for r in documents.collect()}
+    assert max(len(t.split()) for t in whole.values()) > 1000
+    assert {r["doc_id"]: r["words"] for r in own.rebuilt_texts(documents).collect()} == whole
+
+
 def test_queries_without_sql_run(spark, sf_dir):
     for name in sorted(set(own.QUERIES) - set(own.SQL)):
         assert entry.queries()[name](spark, sf_dir).count() > 0, name
