@@ -39,6 +39,14 @@ def test_inverted_abstracts_go_over_whole_texts(spark, sf_dir):
     assert {r["doc_id"]: r["words"] for r in own.rebuilt_texts(documents).collect()} == whole
 
 
+def test_metadata_variants_go_over_all_events(spark, sf_dir):
+    events = own.load(spark, sf_dir, "events").collect()
+    rows = entry.queries()["metadata_variants_all"](spark, sf_dir).collect()
+    distinct = {(r["user_id"] * 20 + r["event_id"] % 20, r["event_type"], r["value"] < 20) for r in events}
+    assert sum(r["variants"] for r in rows) == len(distinct) and {r["lot"] for r in rows} == {k for k, *_ in distinct}
+    assert {r["outcome"] for r in rows} >= {"accepted", "conflicting_metadata_versions", "not_error", "not_signup"}
+
+
 def test_queries_without_sql_run(spark, sf_dir):
     for name in sorted(set(own.QUERIES) - set(own.SQL)):
         assert entry.queries()[name](spark, sf_dir).count() > 0, name

@@ -72,6 +72,19 @@ def metadata_variants(spark, sf_dir):
     return counts.resolve_variants(e, "user_id", F.col("event_type"), F.col("event_type"), reason, F.col("event_id"))
 
 
+@query("""SELECT lot, CASE WHEN count(DISTINCT s) FILTER (good) > 1 OR (count(*) FILTER (good) BETWEEN 1 AND count(*) - 1) THEN 'conflicting_metadata_versions'
+ WHEN count(*) FILTER (good) > 0 THEN 'accepted' ELSE arg_min(r, o) END AS outcome, count(*) AS variants,
+ CASE WHEN NOT (count(DISTINCT s) FILTER (good) > 1 OR (count(*) FILTER (good) BETWEEN 1 AND count(*) - 1)) AND count(*) FILTER (good) > 0 THEN min(o) FILTER (good) END AS first_good
+FROM (SELECT lot, s, r, r IS NULL AS good, o FROM (SELECT user_id * 20 + event_id % 20 AS lot, event_type AS v, value < 20 AS s, CASE WHEN event_type = 'error' OR event_type = 'signup' THEN 'not_' || event_type END AS r, min(event_id) AS o
+ FROM events GROUP BY ALL)) GROUP BY lot""")
+def metadata_variants_all(spark, sf_dir):
+    """metadata_variants over every event: outcomes vary by column expressions, not by a choice of rows."""
+    e = load(spark, sf_dir, "events").withColumn("lot", F.col("user_id") * 20 + F.col("event_id") % 20)
+    reason = F.when(F.col("event_type").isin("error", "signup"), F.concat(F.lit("not_"), "event_type"))
+    small = F.col("value") < 20
+    return counts.resolve_variants(e, "lot", F.struct("event_type", small), small, reason, F.col("event_id"))
+
+
 @query("SELECT source AS grp, bool_and(quality = 1) AS scan_complete, CASE WHEN source = 'src3' THEN 'needs_series_review' WHEN bool_and(quality = 1) THEN 'complete' ELSE 'incomplete' END AS status FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def scan_status(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("grp"), (F.col("quality") == 1).alias("ok"))
