@@ -401,6 +401,18 @@ def test_salvage_of_members_with_several_records_and_of_junk():
     assert split(b"") == ([], []) and split(b"\r\n") == ([], []) and split(b"junk") == ([], [(0, 4)])
 
 
+def test_warc_headers_of_any_length(spark):
+    urls = ["data:," + "x" * n for n in (65_000, 65_536, 70_000, 3_000_000)]
+    for gz in (False, True):
+        parts = [warc.record_bytes(i, u, b"p" * 2000, None) for i, u in enumerate(urls)]
+        out = list(warc.salvage(io.BytesIO(b"".join(map(warc.member, parts) if gz else parts))))
+        assert [r.headers["warc-target-uri"] for r in out] == urls
+    cut = warc.record_bytes(7, urls[2], b"", None)[:68_000] + warc.record_bytes(8, "u", b"p", None)
+    assert split(cut)[0] == [8]
+    rows = warc.round_trip(spark.createDataFrame([(i, u, "same") for i, u in enumerate(urls)], "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["url"], r["status"], r["record_type"]) for r in rows) == [(i, u, "record", "revisit" if i < 3 else "response") for i, u in enumerate(urls)]
+
+
 # --- pages --------------------------------------------------------------------------------------
 
 

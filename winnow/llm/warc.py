@@ -36,7 +36,8 @@ _ENTRY = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
 _FIELD = re.compile(r"[!-9;-~]+[ \t]*:|[ \t]")
 _PAGE = "urn:x-page:"
 _BLOCK = 1 << 20
-_LONGEST_HEADER = 1 << 16
+#: A header may be longer (the writer puts whole urls there): from here on its lines are checked before its end is found.
+_USUAL_HEADER = 1 << 16
 
 
 def sha1_base32(data: bytes) -> str:
@@ -145,10 +146,12 @@ class _Window:
 
 def _take(buf: bytes | bytearray, offset: int, ended: bool) -> tuple[Record, int] | None:
     """The record at the start of buf and its length; None if more bytes are needed."""
-    head = buf.find(b"\r\n\r\n", 0, _LONGEST_HEADER)
+    head = buf.find(b"\r\n\r\n")
     if head < 0:
-        if ended or len(buf) >= _LONGEST_HEADER or not (_VERSION.match(buf) or len(buf) < 10):
+        if ended or not (_VERSION.match(buf) or len(buf) < 10):
             raise Broken("no record header")
+        if len(buf) >= _USUAL_HEADER and not all(_FIELD.match(x.decode("latin-1")) for x in bytes(buf).split(b"\r\n")[1:-1]):
+            raise Broken("damaged header")
         return None
     if not _VERSION.match(buf):
         raise Broken("no version line")
@@ -195,7 +198,7 @@ def _gunzip(window: _Window, offset: int) -> Iterator[Record | int]:
 
 
 def _plain(window: _Window, offset: int) -> Iterator[Record | int]:
-    n = _LONGEST_HEADER
+    n = _USUAL_HEADER
     while True:
         raw = window.get(offset, n)
         got = _take(raw, offset, len(raw) < n)
