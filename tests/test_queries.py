@@ -47,6 +47,10 @@ def test_metadata_variants_go_over_all_events(spark, sf_dir):
     assert {r["outcome"] for r in rows} >= {"accepted", "conflicting_metadata_versions", "not_error", "not_signup"}
 
 
+def test_paired_bootstrap_draws_as_the_reference(spark, sf_dir):
+    assert entry.queries()["paired_bootstrap"](spark, sf_dir).first()["samples"] == 2000
+
+
 def test_queries_without_sql_run(spark, sf_dir):
     for name in sorted(set(own.QUERIES) - set(own.SQL)):
         assert entry.queries()[name](spark, sf_dir).count() > 0, name

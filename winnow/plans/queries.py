@@ -453,7 +453,7 @@ def paired_changes(spark, sf_dir):
 
 @query()
 def paired_bootstrap(spark, sf_dir):
-    return evaluation.bootstrap(paired_changes(spark, sf_dir), samples=200)
+    return evaluation.bootstrap(paired_changes(spark, sf_dir))
 
 
 @query(f"""WITH {_RUN("a", 31)}, {_RUN("b", 53)}, d AS (SELECT paper_id, max(abs(a.p - b.p)) AS d FROM scores_a a JOIN scores_b b USING (paper_id, journal_id) GROUP BY 1),
