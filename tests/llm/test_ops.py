@@ -241,6 +241,21 @@ def test_proximity(spark):
     assert sorted(map(tuple, rows)) == [(1, 0, 5), (3, 0, 2)]
 
 
+def test_proximity_finds_the_smallest_window_of_the_document(spark):
+    texts = {1: "x a x r x x a b", 2: "a b", 3: "r x x b a"}  # the nearest a of 1 is on the wrong side; of 2 and 3, in the other document
+    rng = random.Random(4)
+    texts |= {k: " ".join(rng.choices("abrxyz", [3, 3, 1, 2, 2, 2], k=rng.randrange(0, 40))) for k in range(4, 60)}
+    expected = []
+    for k, t in texts.items():
+        w = t.split()
+        for m in (i for i, x in enumerate(w) if x == "r"):
+            spans = [(j - i, i, j) for i in range(m + 1) for j in range(m + 1, len(w) + 1) if {"a", "b", "r"} <= set(w[i:j])]
+            expected += [(k, i, j) for n, i, j in [min(spans, default=(99, 0, 0))] if n <= 6]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    assert sum(t.split().count("r") for t in texts.values()) < min(sum(t.split().count(c) for t in texts.values()) for c in "ab")
+    assert sorted(map(tuple, decontam.proximity(decontam.build_index(df), "r a b", slop=6).collect())) == sorted(expected)
+
+
 # --- secrets ------------------------------------------------------------------------------------
 
 KEY = "ghp-x9Kd03LmQ7zTfB2vYw8RsUeN5aHc1JoP"

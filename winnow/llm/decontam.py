@@ -290,8 +290,8 @@ def _searcher(given, only_hits: bool):
 
 
 def proximity(index: DataFrame, query: str, slop: int) -> DataFrame:
-    """(doc_id, start, end): for each occurrence of the query's rarest word, the words of the document that
-    reach from it to the nearest occurrence of every other word, where they span at most slop words."""
+    """(doc_id, start, end): for each occurrence of the query's rarest word, the smallest window of its document that
+    holds it and an occurrence of every other word (the first of several), where that spans at most slop words."""
     raw = np.frombuffer(query.encode(), dtype=np.uint8)
     wanted = np.unique(hash_words(raw, np.array([0, len(raw)]))[0])
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
@@ -305,13 +305,20 @@ def proximity(index: DataFrame, query: str, slop: int) -> DataFrame:
                 if not len(wanted) or not df.all():
                     continue
                 lists = sorted((keys[keys >> 32 == t] & 0xFFFFFFFF for t in range(len(wanted))), key=len)
-                lo = hi = mid = lists[0]
-                for other in lists[1:]:
-                    at = np.searchsorted(other, mid)
-                    left, right = other[np.maximum(at - 1, 0)], other[np.minimum(at, len(other) - 1)]
-                    near = np.where(np.abs(left - mid) <= np.abs(right - mid), left, right)
-                    lo, hi = np.minimum(lo, near), np.maximum(hi, near)
-                ok = (hi - lo < slop) & (seg.doc_of(lo) == seg.doc_of(hi))
+                begins = np.unique(np.concatenate(lists))  # where a window can begin, and from there the next of every word
+                ends = np.max([np.append(x, 1 << 40)[np.searchsorted(x, begins)] for x in lists], axis=0)
+                mid = lists[0]
+                doc = seg.doc_of(mid)
+                first = np.searchsorted(begins, np.maximum(mid - slop + 1, seg.doc_start[doc]))
+                n = np.searchsorted(begins, mid, side="right") - first
+                after = seg.doc_start[doc] + n_words[doc]
+                lo, hi = np.zeros_like(mid), np.full_like(mid, 1 << 40)
+                for k in range(int(n.max(initial=0))):
+                    at = np.minimum(first + k, len(begins) - 1)
+                    end = np.maximum(ends[at], mid)
+                    better = (k < n) & (end < after) & (end - begins[at] < hi - lo)
+                    lo, hi = np.where(better, begins[at], lo), np.where(better, end, hi)
+                ok = hi - lo < slop
                 doc = seg.doc_of(lo[ok])
                 cols = [batch.column(1)[r].values.take(pa.array(doc)), pa.array(lo[ok] - seg.doc_start[doc]), pa.array(hi[ok] - seg.doc_start[doc] + 1)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "end"])
