@@ -313,6 +313,17 @@ def test_randomness_tests_hold_their_level():
         assert sum(x < 0.1 for x in p) < 80, name
 
 
+def test_few_random_runs_among_junk_are_judged_with_their_encoding(spark):
+    even = lambda stratum, n: [(stratum, (i + 0.5) / n) for i in range(n)]
+    junk = lambda stratum, n: [(stratum, 0.0)] * n
+    rows = even("hex/32", 8) + junk("hex/32", 30) + even("hex/64", 200) + junk("hex/64", 40) + even("base64/24", 6) + junk("base64/24", 25) + junk("base32/16", 40)
+    scanned = spark.createDataFrame([([(0, 9, s, p)],) for s, p in rows], "runs array<struct<start:long,end:long,stratum:string,p:double>>")
+    limits = secrets.thresholds(scanned)
+    assert set(limits) == {"hex/32", "hex/64", "base64/24", "base32/16"} and all(0 < t < 0.3 for t in limits.values()), limits
+    alone = secrets.thresholds(scanned.where("runs[0].stratum = 'base64/24'"))
+    assert alone == {"base64/24": 2.0}  # nothing to judge them with
+
+
 # --- toxicity and language ----------------------------------------------------------------------
 
 

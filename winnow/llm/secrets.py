@@ -146,24 +146,33 @@ def thresholds(scanned: DataFrame, rate: float = 0.1) -> dict[str, float]:
     """For each stratum the least p from which runs count as secrets, or 2 where none do.
 
     Uniform p-values put half their mass above one half, which gives the number of random runs; accepted
-    runs beyond them are false. A stratum with under 20 runs is judged with all lengths of its encoding.
+    runs beyond them are false. A stratum with under 20 runs, or with fewer random ones than the rate needs at
+    least, is judged with all lengths of its encoding; an encoding of which that is true, with all encodings.
     """
     runs = scanned.select(F.explode("runs").alias("r"))
     bins = runs.groupBy(F.col("r.stratum").alias("stratum"), F.least(F.floor(F.col("r.p") * _BINS), F.lit(_BINS - 1)).cast("int").alias("bin")).count()
     by: dict[str, np.ndarray] = {}
     for r in bins.collect():  # encodings x lengths x bins at most
-        for key in (r["stratum"], r["stratum"].split("/")[0]):
+        for key in (r["stratum"], r["stratum"].split("/")[0], ""):
             by.setdefault(key, np.zeros(_BINS))[r["bin"]] += r["count"]
 
+    def random(h: np.ndarray) -> int:
+        return 2 * int(h[_BINS // 2 :].sum())
+
     def least(h: np.ndarray) -> float:
         above = np.cumsum(h[::-1])[::-1]
-        random = 2 * above[_BINS // 2]
         for k in range(_BINS // 2 + 1):
-            if above[k] and (max(0.0, above[k] - random * (1 - k / _BINS)) + 1) / above[k] <= rate:
+            if above[k] and (max(0.0, above[k] - random(h) * (1 - k / _BINS)) + 1) / above[k] <= rate:
                 return k / _BINS
         return 2.0
 
-    return {s: least(h if h.sum() >= 20 else by[s.split("/")[0]]) for s, h in by.items() if "/" in s}
+    def judged(stratum: str) -> np.ndarray:
+        own, encoding = by[stratum], by[stratum.split("/")[0]]
+        if own.sum() >= 20 and random(own) * rate >= 1:
+            return own
+        return encoding if random(encoding) * rate >= 1 else by[""]
+
+    return {s: least(judged(s)) for s in by if "/" in s}
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
