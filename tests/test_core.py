@@ -81,7 +81,8 @@ def test_later_rules_override_and_cleanup_logs(spark):
     assert {r["paper_id"]: r["reason"] for r in log.collect()} == {"a": None, "b": "special-issue introduction", "c": "insufficient text after conservative cleanup", "e": None}
 
 
-def test_components_agree_with_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
+def test_components_agree_with_union_find(spark, one_task):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(60)] + [(7, 7), (900, 900), (None, 3), (901, None)]
     parent = {}
@@ -96,7 +97,7 @@ def test_components_agree_with_union_find(spark):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     root(3)  # an edge with one end names that end
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     assert got == {x: root(x) for x in list(parent)} | {901: 901}
 
 

@@ -1,17 +1,24 @@
-"""Connected components of a distributed edge list, by alternating large-star and small-star steps.
+"""Connected components of a distributed edge list.
 
-Each step is a grouped minimum joined back to the edges: nothing is gathered, and a node with very many
-edges is one key of a plain join, which adaptive execution may split. Each round is cut by checkpoint()
-in the shared folder.
+Up to ONE_TASK edges, counted first, are joined by one task with a union-find: that bounds its memory to
+some 100 MB. More go through alternating large-star and small-star steps. Each step is a grouped minimum
+joined back to the edges: nothing is gathered, and a node with very many edges is one key of a plain join,
+which adaptive execution may split. Each round is cut by checkpoint() in the shared folder. Both ways give
+the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.shared import cut
 
+ONE_TASK = 1 << 18
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b) with b < a. Large star: link every larger neighbour of a node to the least of its
@@ -26,12 +33,41 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return joined.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all the edges of one task."""
+    parent: dict = {}
+
+    def root(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = (b, b) if a is None else (a, a) if b is None else (a, b)
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    parent.pop(None, None)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 1 << 14):
+        some = nodes[at : at + (1 << 14)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([root(x) for x in some], kind)], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every node that an edge names; component is the component's least node.
 
-    Nodes must be of one ordered type. Null ends, loops and repeated edges are ignored.
+    Nodes must be of one ordered type. Null ends, loops and repeated edges link nothing; a node that only they name is alone.
     """
     a, b = F.col(src), F.col(dst)
+    edges = cut(edges.select(a.alias("a"), b.alias("b")))
+    if edges.count() <= one_task:
+        kind = edges.schema["a"].dataType.simpleString()
+        return cut(edges.coalesce(1).mapInArrow(_joined, f"node {kind}, component {kind}"))
+    a, b = F.col("a"), F.col("b")
     now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     alone = edges.where(a.isNotNull() & (b.isNull() | (a == b))).select(a.alias("node"))
     alone = alone.unionByName(edges.where(b.isNotNull() & a.isNull()).select(b.alias("node")))
