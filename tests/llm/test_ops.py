@@ -147,6 +147,67 @@ def plain_components(fps, radius):
     return [root(i) for i in range(len(fps))]
 
 
+def plain_classes(texts, similarity=0.8, shingle=5):
+    """The least index of each text's class under Jaccard similarity of word shingles."""
+    sets = []
+    for text in texts:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sets.append({tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(sets))]
+
+
+def variants(seed, n, length):
+    """Texts in families, members of which lie about the similarity apart."""
+    rng = random.Random(seed)
+    out = []
+    for f in range(n):
+        words = [f"f{f}w{rng.randrange(10_000)}" for _ in range(length + rng.randrange(length))]
+        for _ in range(8):
+            own = list(words)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = f"edit{rng.randrange(10_000)}"
+            out.append(" ".join(own + ["a passage that every text of this table has at its end, whatever else it may say"]))
+    return out
+
+
+@pytest.mark.parametrize("length", [5, 40, 400])
+def test_near_texts_agree_with_brute_force(spark, length):
+    texts = variants(length, 60, length)
+    rows = simhash.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in sorted(rows)] == plain_classes(texts)
+
+
+def test_near_texts_in_small_blocks(spark):
+    texts = variants(3, 30, 40)
+    rows = [(xxhash.xxh3_128_digest(s.tobytes()), i, *(x - (1 << 64) if x >> 63 else x for x in simhash.wide_fingerprint(s)), s[: simhash.KEYS].view(np.int64).tolist(), s.tobytes()) for i, s in enumerate(map(simhash.shingle_set, texts))]
+    nodes = spark.createDataFrame(rows, "node binary, owner long, f0 long, f1 long, least array<long>, hashes binary").dropDuplicates(["node"])
+    number = dict(reversed([(bytes(r[0]), r[1]) for r in rows]))
+    merged = lambda edges: {(number[bytes(r["node"])], number[bytes(r["component"])]) for r in simhash.connected_components(edges).collect()}
+    assert merged(simhash.candidate_links(nodes, simhash.radius_of(0.8), block=7)) == merged(simhash.candidate_links(nodes, simhash.radius_of(0.8)))
+    whole = nodes.withColumn("component", F.lit(1))
+    assert merged(simhash.exact_links(whole, 128, 0.8, block_bytes=5000)) == merged(simhash.exact_links(whole, 128, 0.8))
+
+
+def test_near_texts_of_odd_rows(odd, empty):
+    of = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(odd).collect()}
+    assert of[1] == of[2] == of[7] == 1 and of[3] == of[4] == 3 and of[None] is None and of[5] == 5
+    assert simhash.near_texts(odd).count() == len(ODD) and simhash.near_texts(empty).count() == 0
+
+
 def test_simhash_of_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert sorted((r["doc_id"] or -1, r["fingerprint"]) for r in rows) == sorted((i or -1, f"{plain_fingerprint(t):016x}") for i, t, *_ in ODD)

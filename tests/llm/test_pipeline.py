@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
-from test_ops import DOCS, ODD, ids_of, plain_components, plain_fingerprint, plain_hits, plain_spans
+from test_ops import DOCS, ODD, ids_of, plain_classes, plain_hits, plain_spans
 
 import corpus_pipeline as pipeline
 from winnow.llm.common import materialize
@@ -31,7 +31,7 @@ def test_stages_take_and_return_documents(spark, sf_dir):
 
     before, kept = rows_of(given["near_duplicates"]), rows_of(given["near_duplicates_out"])
     ids = sorted(before)
-    root = plain_components([plain_fingerprint(before[i]) for i in ids], 2)
+    root = plain_classes([before[i] for i in ids])
     least = {}
     for i, r in zip(ids, root, strict=True):
         least.setdefault(r, i)
@@ -58,9 +58,27 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
     for name, stage in pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
         assert docs.columns == odd.columns
-        if name == "near_duplicates":  # one of the rows 3, 3, 4, one of 1, 2, 7; the null id stays
+        if name == "near_duplicates":  # one of the rows 3, 3, 4, one of 1, 2, 7; the null id has a text of its own
             assert sorted(r["doc_id"] or -1 for r in docs.collect()) == [-1, 1, 3, 5, 6, 8]
     assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= 6
     none = odd.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_rows_are_judged_not_ids(spark, sf_dir):
+    """Ids that repeat with other texts, null ids, and a large group of copies."""
+    words = [f"w{i}" for i in range(60)]
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    near = [" ".join(words[:30] + [f"x{k}"] + words[30:]) for k in range(40)]  # 51 of 61 shingles are common to two
+    rows = [(5, " ".join(words)), (9, "  ".join(words).upper()), (9, "a text that no other row has at all"), (9, "a text that no other row has at all")]
+    rows += [(None, " ".join(words)), (None, "another text without an id, of its own"), (11, item), (11, "clean text under the id of a bad one"), (None, item)]
+    rows += [(100 + k, t) for k, t in enumerate(near)] + [(200 + k, "one text in very many copies, word for word") for k in range(500)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates_stage(spark, docs, sf_dir).collect()]
+    assert len(kept) == len(set(kept)) and (9, rows[2][1]) in kept and (None, rows[5][1]) in kept and (9, rows[1][1]) not in kept and (None, rows[0][1]) not in kept
+    texts = [t for _, t in rows]
+    classes = plain_classes(texts)
+    assert sorted(classes[texts.index(t)] for _, t in kept) == sorted(set(classes))
+    clean = [(r["doc_id"], r["text"]) for r in pipeline.decontamination_stage(spark, docs, sf_dir).collect()]
+    assert sorted(clean, key=str) == sorted((r for r in rows if r[1] != item), key=str)

@@ -326,7 +326,7 @@ def proximity(index: DataFrame, query: str, slop: int) -> DataFrame:
     return index.mapInArrow(each, f"doc_id {kind}, start long, end long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, path: str | None = None) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """search() over a fresh index of docs, with the verdict: a twentieth of the words or more are hit."""
-    found = search(build_index(docs, path=path), items, window)
+    found = search(build_index(docs, id_col, path=path), items, window)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

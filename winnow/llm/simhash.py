@@ -1,19 +1,30 @@
 """SimHash near-duplicates: tiled exact comparison with numpy exclusive-or and bit counts.
 
-Fingerprints are grouped into tiles by the population counts of their sub-words. Two fingerprints whose
-counts differ by more than the radius in sum differ in more than the radius bits, so only tile pairs
-within it are compared; all of those are, bit by bit. Tiles are cut into blocks of bounded size, each
-pair of blocks is one row, and a pair returns a spanning forest of its links rather than the links: that
-keeps every component and no more than one edge a fingerprint. Equal fingerprints are one node, so a
-group of copies of any size is a single row here.
-
-Null or empty texts have fingerprint zero and are linked like any other. Rows with a null id take part;
-a component's id is its least non-null doc_id. Repeated rows are each returned. No rows, no result.
+`near_duplicates` links fingerprints that differ in at most `radius` bits. Fingerprints are grouped into
+tiles by the population counts of their sub-words. Two fingerprints whose counts differ by more than the
+radius in sum differ in more than the radius bits, so only tile pairs within it are compared; all of those
+are, bit by bit. Tiles are cut into blocks of bounded size, each pair of blocks is one row, dealt by both
+tile and block, and a pair returns a spanning forest of its links rather than the links: that keeps every
+component and no more than one edge a fingerprint.
+
+`near_texts` links texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
+Its fingerprints have 128 bits over the distinct shingles, and its radius is six standard deviations
+above the distance expected at that similarity. At so wide a radius population counts skip next to
+nothing, so a tile is the texts that share one of their KEYS least shingle hashes: texts at the similarity
+s share none with a chance of about (1 - s) ** KEYS, 3 in a million at 0.8. Within a tile all pairs are
+compared by exclusive-or and bit counts, in blocks; what is near there is then compared exactly, shingle
+set by shingle set, inside each component of near fingerprints.
+
+Equal fingerprints (equal shingle sets) are one node, so a group of copies of any size is a single row.
+Texts without words have fingerprint zero (the empty set) and are linked like any other, nulls among them.
+Texts of any length are taken whole, 65,536 shingles at a time. Rows with a null id take part; a
+component's id is its least non-null id. Ties and repeated rows are each returned. No rows, no result.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +41,26 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
+def words_of(text: str) -> list[bytes]:
+    return [w for w in text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACE).split(b" ") if w]
+
+
+def _bit_sums(values: np.ndarray) -> np.ndarray:
+    """In how many of the values each of the 64 bits is set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(values), 1 << 16):
+        part = np.ascontiguousarray(values[at : at + (1 << 16)], dtype="<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, shingle: int = 3) -> int:
     """The text's SimHash over XXH64 (seed 42) of its word shingles, repeats included."""
-    words = [w for w in text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACE).split(b" ") if w]
+    words = words_of(text)
     if not words:
         return 0
     joined = b" ".join(words)
@@ -41,9 +69,8 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     stops = (ends - 1).tolist()[shingle - 1 :] or [len(joined)]
     ones, digest, n = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest, len(stops)
     for at in range(0, n, 1 << 16):
-        part = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], dtype="<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        ones += _bit_sums(np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], dtype="<u8"))
+    return _majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,13 +140,17 @@ def links(distinct: DataFrame, radius: int = 2, words: int | None = None, block:
     counts = [F.bit_count(F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1) if width < 64 else F.lit(-1))) for k in range(words)]
     tiles = distinct.select("fp", F.array(*counts).alias("tile"))
     # blocks of a tile: so many parts that one holds about `block` fingerprints, dealt by a hash of them
-    sizes = tiles.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    sizes = materialize(tiles.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "sizes")
     dealt = tiles.join(sizes, "tile").select("tile", "fp", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
     blocks = materialize(dealt.groupBy("tile", "part").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "tiles")
+    # the pairs of blocks are listed first, so that a tile of many blocks is many keys of the joins
     moves = F.array(*[F.array(*map(F.lit, d)) for d in near_counts(words, radius)])
-    left = blocks.select(F.col("fps").alias("left"), F.col("part").alias("i"), F.col("tile").alias("own"), F.explode(moves).alias("move"))
-    left = left.select("left", "i", F.zip_with("own", "move", lambda x, y: (x + y).cast("int")).alias("tile"), F.forall("move", lambda x: x == 0).alias("same"))
-    pairs = left.join(blocks, "tile").where("not same or i <= part").select("left", F.col("fps").alias("right"), F.expr("same and i = part").alias("same"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = sizes.select(F.col("tile").alias("own"), "parts", F.explode(moves).alias("move"))
+    left = left.select("own", numbers("parts").alias("i"), F.zip_with("own", "move", lambda x, y: (x + y).cast("int")).alias("tile"), F.forall("move", lambda x: x == 0).alias("same"))
+    pairs = left.join(sizes, "tile").select("own", "i", "tile", numbers("parts").alias("part"), "same").where("not same or i <= part")
+    pairs = pairs.join(blocks.select(F.col("tile").alias("own"), F.col("part").alias("i"), F.col("fps").alias("left")), ["own", "i"])
+    pairs = pairs.join(blocks, ["tile", "part"]).select("left", F.col("fps").alias("right"), F.expr("same and i = part").alias("same"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,3 +175,197 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: i
     ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = linked.join(ids, "component").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- texts of a wanted similarity -----------------------------------------------------------------
+
+#: How many of a text's least shingle hashes name the tiles it is compared in.
+KEYS = 8
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = 500_000
+_words: dict[bytes, int] = {}
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the text's word shingles; of fewer words, of their whole sequence."""
+    words = words_of(text)
+    if len(_words) > _KEEP:
+        _words.clear()
+    for w in set(words) - _words.keys():
+        _words[w] = xxhash.xxh64_intdigest(w, 7)
+    own = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    width = min(shingle, len(own))
+    h = np.zeros(len(own) - width + 1 if width else 0, dtype=np.uint64)
+    for k in range(width):
+        h = _mix((h + _ODD) ^ own[k : k + len(h)])
+    return np.unique(h)
+
+
+def wide_fingerprint(values: np.ndarray) -> tuple[int, int]:
+    """128 bits of SimHash over a set of hashes, as two unsigned words."""
+    return _majority(_bit_sums(values), len(values)), _majority(_bit_sums(_mix(values + _ODD)), len(values))
+
+
+def radius_of(similarity: float, bits: int = 128) -> int:
+    """The distance expected of two sets at a Jaccard similarity, and six standard deviations: sets of a few shingles lie
+    further apart, by up to one, as an even number of them leaves bits undecided."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of a and b (words of a fingerprint) within the radius, some at a time."""
+    step = max(1, (1 << 18) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        away = sum(np.bitwise_count(a[at : at + step, None, w] ^ b[None, :, w]).astype(np.uint16) for w in range(a.shape[1]))
+        i, j = np.nonzero(away <= radius)
+        keep = j > i + at if same else slice(None)
+        yield i[keep] + at, j[keep]
+
+
+def _sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, size, f0, f1, least): of each text the digest, size, fingerprint and least hashes of its shingle set."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in small_slices(whole, 1, 4 << 20):
+                out: dict[str, list] = {"node": [], "size": [], "f0": [], "f1": [], "least": []}
+                for text in b.column(1):
+                    values = shingle_set(text.as_py(), shingle)
+                    f0, f1 = wide_fingerprint(values)
+                    for name, x in zip(out, (xxhash.xxh3_128_digest(values.tobytes()), len(values), f0, f1, values[:KEYS].view(np.int64)), strict=True):
+                        out[name].append(x)
+                signed = lambda xs: pa.array(np.array(xs, dtype=np.uint64).view(np.int64))
+                cols = [b.column(0), pa.array(out["node"], pa.binary()), pa.array(out["size"], pa.int64()), signed(out["f0"]), signed(out["f1"]), pa.array(out["least"], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *out])
+
+    rows = modest_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(tidy(each), f"doc_id {kind}, node binary, size long, f0 long, f1 long, least array<long>")
+
+
+def _blocked(rows: DataFrame, tile: str, weight, limit: int, columns: list[str]) -> DataFrame:
+    """(left, right, same): all pairs of blocks of each tile with two rows or more, a block holding about `limit` of the
+    weight; right is null where a tile is one block, which is compared with itself."""
+    sizes = materialize(rows.groupBy(tile).agg(F.count("*").alias("n"), F.ceil(F.sum(weight) / limit).cast("int").alias("parts")).where("n > 1").select(tile, "parts"), "sizes")
+    dealt = rows.join(sizes, tile).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    blocks = materialize(dealt.groupBy(tile, "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct(*columns)).alias("block")), "tiles")
+    alone = blocks.where("parts = 1").select(F.col("block").alias("left"), F.lit(None).cast(blocks.schema["block"].dataType).alias("right"), F.lit(True).alias("same"))
+    many = blocks.where("parts > 1")
+    listed = sizes.where("parts > 1").select(tile, F.explode(F.expr("sequence(0, parts - 1)")).alias("i"), "parts").select(tile, "i", F.explode(F.expr("sequence(i, parts - 1)")).alias("j"))
+    one, two = (many.select(tile, F.col("part").alias(k), F.col("block").alias(n)) for k, n in (("i", "left"), ("j", "right")))
+    return alone.unionByName(listed.join(one, [tile, "i"]).join(two, [tile, "j"]).select("left", "right", F.expr("i = j").alias("same")))
+
+
+def _fps(rows: pa.Array) -> np.ndarray:
+    return np.stack([rows.field(f).to_numpy().view(np.uint64) for f in ("f0", "f1")], axis=1)
+
+
+def _binary(values: np.ndarray) -> pa.Array:
+    return pa.array(values.tolist(), pa.binary())
+
+
+def candidate_links(nodes: DataFrame, radius: int, block: int = 4096) -> DataFrame:
+    """(a, b): nodes that share a tile and differ in at most radius bits; a spanning forest of these for each batch of
+    small tiles and each pair of blocks of a large one."""
+    keyed = nodes.select("node", "f0", "f1", F.explode("least").alias("tile"))
+    pairs = _blocked(keyed, "tile", F.lit(1), block, ["node", "f0", "f1"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs, ys = [np.empty(0, object)], [np.empty(0, object)]
+            rows = b.column(0)
+            flat, at = rows.flatten(), (rows.offsets.to_numpy() - rows.offsets[0].as_py() if len(rows) else np.zeros(1, np.int64))
+            fps, names = _fps(flat), np.array(flat.field("node").to_pylist(), dtype=object)
+            single = b.column(1).is_null().to_numpy(zero_copy_only=False)
+            size = np.diff(at)
+            for n in np.unique(size[single & (size <= 64)]).tolist():  # small tiles of one size at once
+                first = at[:-1][single & (size == n)]
+                i, j = np.triu_indices(n, 1)
+                i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+                near = sum(np.bitwise_count(fps[i, w] ^ fps[j, w]).astype(np.uint16) for w in range(2)) <= radius
+                xs.append(names[i[near]])
+                ys.append(names[j[near]])
+            for k in np.flatnonzero(~single | (size > 64)).tolist():
+                own, own_names = fps[at[k] : at[k + 1]], names[at[k] : at[k + 1]]
+                same = b.column(2)[k].as_py()
+                other, other_names = (own, own_names) if same else (_fps(v := b.column(1)[k].values), np.array(v.field("node").to_pylist(), dtype=object))
+                for i, j in near_pairs(own, other, radius, same):
+                    xs.append(own_names[i])
+                    ys.append(other_names[j])
+                    if sum(map(len, xs)) > 1 << 18:
+                        x, y = _forest(np.concatenate(xs), np.concatenate(ys))
+                        xs, ys = [x], [y]
+            x, y = _forest(np.concatenate(xs), np.concatenate(ys))
+            yield pa.RecordBatch.from_arrays([_binary(x), _binary(y)], ["a", "b"])
+
+    return pairs.mapInArrow(tidy(each), "a binary, b binary")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def exact_links(members: DataFrame, radius: int, similarity: float, block_bytes: int = 4 << 20) -> DataFrame:
+    """(a, b): spanning links, by shingle sets, between the members (component, node, f0, f1, hashes) of each component."""
+    pairs = _blocked(members, "component", 64 + F.octet_length("hashes"), block_bytes, ["node", "f0", "f1", "hashes"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, list] = ([], [])
+            for k in range(b.num_rows):
+                same, blocks = b.column(2)[k].as_py(), [b.column(0)[k].values]
+                if not same:
+                    blocks.append(b.column(1)[k].values)
+                fps, names = [_fps(x) for x in blocks], [x.field("node").to_pylist() for x in blocks]
+                sets = [[np.frombuffer(v, dtype="<u8") for v in x.field("hashes").to_pylist()] for x in blocks]
+                parent: dict[bytes, bytes] = {}
+
+                def root(x: bytes, parent=parent) -> bytes:
+                    while (p := parent.setdefault(x, x)) != x:
+                        parent[x] = x = parent[p]
+                    return x
+
+                for left, right in near_pairs(fps[0], fps[-1], radius, same):
+                    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                        x, y = root(names[0][i]), root(names[-1][j])
+                        if x != y and _alike(sets[0][i], sets[-1][j], similarity):
+                            parent[max(x, y)] = min(x, y)
+                            out[0].append(names[0][i])
+                            out[1].append(names[-1][j])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
+
+    return pairs.mapInArrow(tidy(each), "a binary, b binary")
+
+
+def near_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, component_id (the least doc_id of the texts reachable over links of at least the similarity)."""
+    radius = radius_of(similarity)
+    found = materialize(_sketches(docs, shingle, id_col, text_col), "sketches")
+    nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("owner"), *[F.first(c).alias(c) for c in ("size", "f0", "f1", "least")]), "nodes")
+    near = connected_components(candidate_links(nodes, radius))
+    members = materialize(nodes.join(near, "node").select("node", "component", "owner", "f0", "f1"), "members")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in small_slices(whole, 1, 4 << 20):
+                sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+
+    # texts are read again only for what is near: one row of each node, named by its owner
+    texts = docs.select(F.col(id_col).alias("owner"), text_of(text_col).alias("text")).join(members.select("owner").distinct(), "owner", "left_semi").dropDuplicates(["owner", "text"])
+    sets = modest_batches(texts).select("owner", "text").mapInArrow(tidy(each), "node binary, hashes binary").dropDuplicates(["node"])
+    links = exact_links(members.join(sets, "node").select("component", "node", "f0", "f1", "hashes"), radius, similarity)
+    parts = connected_components(links)
+    linked = nodes.join(parts, "node", "left").select("node", "owner", F.coalesce("component", "node").alias("component"))
+    ids = linked.groupBy("component").agg(F.min("owner").alias("component_id"))
+    return found.join(linked.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
