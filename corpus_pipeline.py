@@ -1,11 +1,13 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and reread by the next.
 
 toxicity drops documents that the classifier (learned on the labels of the table itself, outside the
-held-out fold) scores 0.3 or more; near_duplicates keeps the least id of each SimHash component;
+held-out fold) scores 0.3 or more; near_duplicates keeps the least id of each group of texts that are
+linked by a Jaccard similarity of 0.8 or more over their 5-word shingles, found by SimHash;
 decontamination drops contaminated documents; secrets replaces every secret found and keeps the document;
-packing gives the pieces of sequences of 2048 tokens. Ids name documents: rows that repeat an id are
-versions of one document, of which one stays if they are near duplicates of each other; a row whose id is
-null can't be named by a decision about ids and passes near_duplicates and decontamination.
+packing gives the pieces of sequences of 2048 tokens.
+
+Decisions are about rows, named by their id and a digest of their text: a row whose id is null, or is that
+of a row with another text, is judged like any other. Of rows that repeat both, near_duplicates keeps one.
 """
 
 from __future__ import annotations
@@ -16,14 +18,20 @@ from pyspark.sql import functions as F
 from winnow.llm import decontam, packing, secrets, simhash, toxicity
 from winnow.llm.common import materialize, table
 
-#: Lists of at most so many ids are broadcast (some 10 MB); longer ones are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Lists of at most so many rows are broadcast (some 10 MB); longer ones are joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_row`: the id (in order; null last) and a digest of the text. Null texts count as empty."""
+    name = F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("~"))
+    return docs.withColumn("_row", F.concat_ws(":", name, F.hex(F.xxhash64(F.coalesce("text", F.lit(""))))))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is listed."""
-    listed = materialize(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "ids")
-    return docs.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without those whose `_row` is in the column doc_id of rows."""
+    listed = materialize(rows.select(F.col("doc_id").alias("_row")).distinct(), "rows")
+    return docs.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, "_row", "left_anti")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +40,20 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialize(simhash.near_duplicates(docs, radius=2, shingle=3), "components")
-    kept = without(docs, found.where("doc_id <> component_id"))
+    rows = keyed(docs)
+    found = materialize(simhash.near_texts(rows, similarity=0.8, shingle=5, id_col="_row"), "components")
+    kept = without(rows, found.where("doc_id <> component_id"))
     repeated = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return without(kept, repeated).unionByName(once)
+    if not repeated.isEmpty():
+        once = kept.join(repeated.withColumnRenamed("doc_id", "_row"), "_row", "left_semi").dropDuplicates(["_row"])
+        kept = without(kept, repeated).unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated"))
+    rows = keyed(docs)
+    found = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return without(rows, found.where("contaminated")).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
