@@ -193,11 +193,11 @@ def test_near_texts_agree_with_brute_force(spark, length):
 
 def test_near_texts_in_small_blocks(spark):
     texts = variants(3, 30, 40)
-    rows = [(xxhash.xxh3_128_digest(s.tobytes()), i, *(x - (1 << 64) if x >> 63 else x for x in simhash.wide_fingerprint(s)), s[: simhash.KEYS].view(np.int64).tolist(), s.tobytes()) for i, s in enumerate(map(simhash.shingle_set, texts))]
-    nodes = spark.createDataFrame(rows, "node binary, owner long, f0 long, f1 long, least array<long>, hashes binary").dropDuplicates(["node"])
+    rows = [(xxhash.xxh3_128_digest(s.tobytes()), i, len(s), *(x - (1 << 64) if x >> 63 else x for x in simhash.wide_fingerprint(s)), s[: simhash.KEYS].view(np.int64).tolist(), s.tobytes()) for i, s in enumerate(map(simhash.shingle_set, texts))]
+    nodes = spark.createDataFrame(rows, "node binary, owner long, size long, f0 long, f1 long, least array<long>, hashes binary").dropDuplicates(["node"])
     number = dict(reversed([(bytes(r[0]), r[1]) for r in rows]))
     merged = lambda edges: {(number[bytes(r["node"])], number[bytes(r["component"])]) for r in simhash.connected_components(edges).collect()}
-    assert merged(simhash.candidate_links(nodes, simhash.radius_of(0.8), block=7)) == merged(simhash.candidate_links(nodes, simhash.radius_of(0.8)))
+    assert merged(simhash.candidate_links(nodes, simhash.radius_of(0.8), 0.8, block=7)) == merged(simhash.candidate_links(nodes, simhash.radius_of(0.8), 0.8))
     whole = nodes.withColumn("component", F.lit(1))
     assert merged(simhash.exact_links(whole, 128, 0.8, block_bytes=5000)) == merged(simhash.exact_links(whole, 128, 0.8))
 
@@ -488,6 +488,65 @@ def test_salvage_of_members_with_several_records_and_of_junk():
     assert split(b"") == ([], []) and split(b"\r\n") == ([], []) and split(b"junk") == ([], [(0, 4)])
 
 
+@pytest.mark.parametrize("crc", [True, False])
+def test_salvage_goes_on_inside_a_member(crc):
+    """Ten records in one member, some damaged before they were compressed, or after (so that the checksum fails too)."""
+    rng = random.Random(5)
+    recs = [warc.record_bytes(i, f"http://x/{i}", rng.randbytes(rng.choice([50, 3000, 400_000])), None) for i in range(10)]
+    after = warc.member(warc.record_bytes(10, "u", b"p", None))
+    starts = np.cumsum([0] + list(map(len, recs))).tolist()
+    for gone in ({3}, {0}, {9}, {2, 5, 6}):
+        bad = bytearray(b"".join(recs))
+        for k in gone:
+            bad[starts[k + 1] - 10] ^= 0x55
+        z = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored: the bytes of the stream are those of the records
+        whole = bytearray(z.compress(bytes(bad)) + z.flush())
+        if crc:
+            whole[-6] ^= 1
+        out = list(warc.salvage(io.BytesIO(bytes(whole) + after)))
+        ids = [int(r.headers["warc-record-id"].strip("<>").split(":")[-1]) for r in out if isinstance(r, warc.Record)]
+        assert ids == [i for i in range(11) if i not in gone]
+        assert {(g.begin, g.stop) for g in out if isinstance(g, warc.Gap)} == {(starts[k], starts[k + 1]) for k in gone}
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)  # a member whose data breaks off: what comes before is read
+    cut = (z.compress(b"".join(recs)) + z.flush())[: sum(map(len, recs)) // 2]
+    out = list(warc.salvage(io.BytesIO(cut + after)))
+    ids = [int(r.headers["warc-record-id"].strip("<>").split(":")[-1]) for r in out if isinstance(r, warc.Record)]
+    gap = next(g for g in out if isinstance(g, warc.Gap))
+    assert 1 < len(ids) < 10 and ids[-1] == 10 and gap.begin == starts[len(ids) - 1] and (gap.offset, gap.end) == (0, len(cut))
+
+
+def test_a_damaged_length_is_seen_before_the_block_is_read():
+    class Counting(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    recs = [warc.record_bytes(i, "u", b"p" * 1000, None) for i in range(20_000)]
+    bad = recs[5].replace(b"Content-Length: 1", b"Content-Length: 91", 2).replace(b"Content-Length: 91077", b"Content-Length: 9107700")
+    file = Counting(b"".join([*recs[:5], bad, *recs[6:]]))
+    assert sum(isinstance(r, warc.Record) for r in warc.salvage(file)) == 19_999 and file.most <= 4 << 20
+
+
+def test_rows_that_repeat_an_id_have_the_role_of_their_payload(spark):
+    rows = warc.round_trip(spark.createDataFrame([(5, "u", "X"), (5, "u", "Y"), (9, "u", "X"), (8, "u", "Y")], "page_id long, url string, html string")).collect()
+    sha = {warc.sha1_base32(t.encode()): t for t in "XY"}
+    assert sorted((r["page_id"], sha[r["payload_digest"]], r["record_type"], r["refers_to"]) for r in rows) == [(5, "X", "revisit", 9), (5, "Y", "revisit", 8), (8, "Y", "response", None), (9, "X", "response", None)]
+
+
+def test_a_lost_record_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(4)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/a")
+    name = manifest.first()["file"].removeprefix("file://")
+    data = bytearray(open(name, "rb").read())
+    data[len(data) // 2] ^= 0xFF
+    open(name, "wb").write(data)
+    assert warc.read_archives(manifest).where("status = 'record'").count() == 3
+    with pytest.raises(Exception, match="3 records read of 4 written"):
+        warc.read_archives(manifest, strict=True).collect()
+
+
 def test_warc_headers_of_any_length(spark):
     urls = ["data:," + "x" * n for n in (65_000, 65_536, 70_000, 3_000_000)]
     for gz in (False, True):

@@ -197,8 +197,9 @@ def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
     words = words_of(text)
     if len(_words) > _KEEP:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh64_intdigest(w, 7)
+    for w in words:
+        if w not in _words:
+            _words[w] = xxhash.xxh64_intdigest(w, 7)
     own = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
     width = min(shingle, len(own))
     h = np.zeros(len(own) - width + 1 if width else 0, dtype=np.uint64)
@@ -219,14 +220,22 @@ def radius_of(similarity: float, bits: int = 128) -> int:
     return math.floor(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of a and b (words of a fingerprint) within the radius, some at a time."""
+def _sizes_fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can be so similar."""
+    return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool, sizes: tuple[np.ndarray, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of a and b (words of a fingerprint) within the radius whose sizes fit, some at a time."""
     step = max(1, (1 << 18) // max(1, len(b)))
     for at in range(0, len(a), step):
         away = sum(np.bitwise_count(a[at : at + step, None, w] ^ b[None, :, w]).astype(np.uint16) for w in range(a.shape[1]))
         i, j = np.nonzero(away <= radius)
-        keep = j > i + at if same else slice(None)
-        yield i[keep] + at, j[keep]
+        i = i + at
+        keep = _sizes_fit(sizes[0][i], sizes[1][j], similarity)
+        if same:
+            keep &= j > i
+        yield i[keep], j[keep]
 
 
 def _sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -271,34 +280,34 @@ def _binary(values: np.ndarray) -> pa.Array:
     return pa.array(values.tolist(), pa.binary())
 
 
-def candidate_links(nodes: DataFrame, radius: int, block: int = 4096) -> DataFrame:
-    """(a, b): nodes that share a tile and differ in at most radius bits; a spanning forest of these for each batch of
+def candidate_links(nodes: DataFrame, radius: int, similarity: float, block: int = 4096) -> DataFrame:
+    """(a, b): nodes of fitting sizes that share a tile and differ in at most radius bits; a spanning forest of these for each batch of
     small tiles and each pair of blocks of a large one."""
-    keyed = nodes.select("node", "f0", "f1", F.explode("least").alias("tile"))
-    pairs = _blocked(keyed, "tile", F.lit(1), block, ["node", "f0", "f1"])
+    keyed = nodes.select("node", "size", "f0", "f1", F.explode("least").alias("tile"))
+    pairs = _blocked(keyed, "tile", F.lit(1), block, ["node", "size", "f0", "f1"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xs, ys = [np.empty(0, object)], [np.empty(0, object)]
             rows = b.column(0)
             flat, at = rows.flatten(), (rows.offsets.to_numpy() - rows.offsets[0].as_py() if len(rows) else np.zeros(1, np.int64))
-            fps, names = _fps(flat), np.array(flat.field("node").to_pylist(), dtype=object)
+            fps, sets, names = _fps(flat), flat.field("size").to_numpy(), np.array(flat.field("node").to_pylist(), dtype=object)
             single = b.column(1).is_null().to_numpy(zero_copy_only=False)
             size = np.diff(at)
             for n in np.unique(size[single & (size <= 64)]).tolist():  # small tiles of one size at once
                 first = at[:-1][single & (size == n)]
                 i, j = np.triu_indices(n, 1)
                 i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-                near = sum(np.bitwise_count(fps[i, w] ^ fps[j, w]).astype(np.uint16) for w in range(2)) <= radius
+                near = (sum(np.bitwise_count(fps[i, w] ^ fps[j, w]).astype(np.uint16) for w in range(2)) <= radius) & _sizes_fit(sets[i], sets[j], similarity)
                 xs.append(names[i[near]])
                 ys.append(names[j[near]])
             for k in np.flatnonzero(~single | (size > 64)).tolist():
-                own, own_names = fps[at[k] : at[k + 1]], names[at[k] : at[k + 1]]
+                own = [x[at[k] : at[k + 1]] for x in (fps, sets, names)]
                 same = b.column(2)[k].as_py()
-                other, other_names = (own, own_names) if same else (_fps(v := b.column(1)[k].values), np.array(v.field("node").to_pylist(), dtype=object))
-                for i, j in near_pairs(own, other, radius, same):
-                    xs.append(own_names[i])
-                    ys.append(other_names[j])
+                other = own if same else [_fps(v := b.column(1)[k].values), v.field("size").to_numpy(), np.array(v.field("node").to_pylist(), dtype=object)]
+                for i, j in near_pairs(own[0], other[0], radius, same, (own[1], other[1]), similarity):
+                    xs.append(own[2][i])
+                    ys.append(other[2][j])
                     if sum(map(len, xs)) > 1 << 18:
                         x, y = _forest(np.concatenate(xs), np.concatenate(ys))
                         xs, ys = [x], [y]
@@ -309,13 +318,11 @@ def candidate_links(nodes: DataFrame, radius: int, block: int = 4096) -> DataFra
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) else 0
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def exact_links(members: DataFrame, radius: int, similarity: float, block_bytes: int = 4 << 20) -> DataFrame:
+def exact_links(members: DataFrame, radius: int, similarity: float, block_bytes: int = 1 << 20) -> DataFrame:
     """(a, b): spanning links, by shingle sets, between the members (component, node, f0, f1, hashes) of each component."""
     pairs = _blocked(members, "component", 64 + F.octet_length("hashes"), block_bytes, ["node", "f0", "f1", "hashes"])
 
@@ -328,6 +335,7 @@ def exact_links(members: DataFrame, radius: int, similarity: float, block_bytes:
                     blocks.append(b.column(1)[k].values)
                 fps, names = [_fps(x) for x in blocks], [x.field("node").to_pylist() for x in blocks]
                 sets = [[np.frombuffer(v, dtype="<u8") for v in x.field("hashes").to_pylist()] for x in blocks]
+                sizes = [np.array([len(v) for v in x]) for x in sets]
                 parent: dict[bytes, bytes] = {}
 
                 def root(x: bytes, parent=parent) -> bytes:
@@ -335,7 +343,7 @@ def exact_links(members: DataFrame, radius: int, similarity: float, block_bytes:
                         parent[x] = x = parent[p]
                     return x
 
-                for left, right in near_pairs(fps[0], fps[-1], radius, same):
+                for left, right in near_pairs(fps[0], fps[-1], radius, same, (sizes[0], sizes[-1]), similarity):
                     for i, j in zip(left.tolist(), right.tolist(), strict=True):
                         x, y = root(names[0][i]), root(names[-1][j])
                         if x != y and _alike(sets[0][i], sets[-1][j], similarity):
@@ -352,7 +360,7 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
     radius = radius_of(similarity)
     found = materialize(_sketches(docs, shingle, id_col, text_col), "sketches")
     nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("owner"), *[F.first(c).alias(c) for c in ("size", "f0", "f1", "least")]), "nodes")
-    near = connected_components(candidate_links(nodes, radius))
+    near = connected_components(candidate_links(nodes, radius, similarity))
     members = materialize(nodes.join(near, "node").select("node", "component", "owner", "f0", "f1"), "members")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
