@@ -3,20 +3,24 @@
 A run of 20 or more key characters is given the smallest encoding that holds it (hexadecimal, base32,
 base36, base62, base64, base64url; letters of one case are words and have none). Three tests ask whether
 it was drawn at random from that alphabet: chi-squared uniformity, runs of character classes, and serial
-correlation; their p-values are combined by the Cauchy rule. Runs are taken for secrets from a threshold
-up which is set per encoding and length, over all documents, so that the estimated share of false
-discoveries (runs beyond those that uniform p-values explain) stays below a bound: short runs, on which
-the tests have little power, need more. Only the histogram of p-values reaches the driver.
-
-Null texts count as empty, and stay null when texts are redacted. Offsets are code points, end exclusive.
-Repeated rows are each returned. An empty table gives no rows.
+correlation; their p-values are combined by the Cauchy rule. How often an ordinary string of that encoding
+and length looks as random is known from simulation (`ordinary`: letters as frequent as in prose, small
+digits first, classes that last). That share is the p-value of the run as a secret, and Benjamini and
+Hochberg's rule over all runs of an encoding and length, in all documents, sets the least combined p-value
+from which they are taken for secrets: a run alone is judged like one of many, and short runs, on which the
+tests have little power, need more. Only the histogram of combined p-values reaches the driver.
+
+Null texts count as empty, and stay null when texts are redacted. Texts of any length are scanned whole.
+Offsets are code points, end exclusive. Repeated rows are each returned. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +41,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _LEAST_RUN = 20
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _BINS = 200
+LEVEL = 0.05
 _IN_RUN = np.zeros(256, dtype=bool)
 _IN_RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 
@@ -78,43 +83,86 @@ def encoding_of(token: str) -> str | None:
     return next((name for name, alphabet in ALPHABETS.items() if used <= set(alphabet)), None)
 
 
-def _normal_tail(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-def randomness(token: str, encoding: str) -> tuple[float, float, float, float]:
-    """p-values of the token as random in its encoding: chi-squared, runs, serial correlation, combined."""
+def _battery(x: np.ndarray, encoding: str) -> np.ndarray:
+    """(p of chi-squared, runs, serial correlation, combined) for each row of letters' places in the alphabet."""
     alphabet = ALPHABETS[encoding]
-    place = {c: i for i, c in enumerate(alphabet)}
-    x = [place[c] for c in token.rstrip("=")]
-    n, k = len(x), len(alphabet)
-    chi = sum(c * c for c in Counter(x).values()) * k / n - n
+    (rows, n), k = x.shape, len(alphabet)
+    counts = np.zeros((rows, k))
+    np.add.at(counts, (np.arange(rows)[:, None], x), 1)
+    chi = (counts**2).sum(axis=1) * k / n - n
     d = k - 1  # Wilson and Hilferty's normal approximation, upper tail
-    z = ((chi / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d))
-    p_chi = 0.5 * math.erfc(z / math.sqrt(2))
-    kinds = [0 if c in _DIGITS else 1 if c in _LOWER else 2 if c in _UPPER else 3 for c in alphabet]
-    share = [c / k for c in Counter(kinds).values()]
-    two, three = sum(s * s for s in share), sum(s**3 for s in share)
+    z = (np.cbrt(chi / d) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d))
+    p_chi = 0.5 * _erfc(z / math.sqrt(2))
+    kinds = np.array([0 if c in _DIGITS else 1 if c in _LOWER else 2 if c in _UPPER else 3 for c in alphabet])
+    share = np.bincount(kinds) / k
+    two, three = (share**2).sum(), (share**3).sum()
     change = 1 - two
-    seen = sum(kinds[a] != kinds[b] for a, b in zip(x, x[1:]))
+    own = kinds[x]
+    seen = (own[:, 1:] != own[:, :-1]).sum(axis=1)
     var = (n - 1) * change * (1 - change) + 2 * (n - 2) * (1 - 2 * two + three - change * change)
-    p_runs = _normal_tail((seen - (n - 1) * change) / math.sqrt(var))
-    mean = sum(x) / n
-    spread = sum((v - mean) ** 2 for v in x)
-    r = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread if spread else 1.0
-    p_serial = _normal_tail((r + 1 / n) * math.sqrt(n))
-    each = [min(max(p, 1e-12), 0.99) for p in (p_chi, p_runs, p_serial)]
-    t = sum(math.tan((0.5 - p) * math.pi) for p in each) / 3
-    return p_chi, p_runs, p_serial, 0.5 - math.atan(t) / math.pi
+    p_runs = _erfc(np.abs(seen - (n - 1) * change) / math.sqrt(2 * var))
+    away = x - x.mean(axis=1, keepdims=True)
+    spread = (away**2).sum(axis=1)
+    r = np.where(spread > 0, (away[:, 1:] * away[:, :-1]).sum(axis=1) / np.maximum(spread, 1e-300), 1.0)
+    p_serial = _erfc(np.abs(r + 1 / n) * math.sqrt(n / 2))
+    each = np.clip(np.stack([p_chi, p_runs, p_serial]), 1e-12, 0.99)
+    combined = 0.5 - np.arctan(np.tan((0.5 - each) * math.pi).mean(axis=0)) / math.pi
+    return np.stack([p_chi, p_runs, p_serial, combined], axis=1)
+
+
+def randomness(token: str, encoding: str) -> tuple[float, float, float, float]:
+    """p-values of the token as random in its encoding: chi-squared, runs, serial correlation, combined."""
+    place = {c: i for i, c in enumerate(ALPHABETS[encoding])}
+    return tuple(_battery(np.array([[place[c] for c in token.rstrip("=")]]), encoding)[0].tolist())
+
+
+#: Letters from the most to the least frequent in prose.
+_FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+@functools.cache
+def ordinary(encoding: str, length: int, rows: int = 4000) -> list[np.ndarray]:
+    """Sorted combined p-values of simulated strings that were not drawn at random, in two families: a class of letters
+    is kept six times in seven; and, where there are both cases, words of some five letters each begin with a capital,
+    a digit or a sign. Letters come as often as in prose: weights fall with the rank, and for digits from 0 up."""
+    alphabet = ALPHABETS[encoding]
+    rng = np.random.default_rng([length, *encoding.encode()])
+    groups = [g for g in ([c for c in alphabet if c in _DIGITS], [c for c in alphabet if c in _LOWER], [c for c in alphabet if c in _UPPER], [c for c in alphabet if not c.isalnum()]) if g]
+    size = np.array([len(g) if g[0].isalnum() else 1 for g in groups], dtype=float)
+
+    def judged(kind: np.ndarray) -> np.ndarray:
+        x = np.zeros((rows, length), dtype=np.int64)
+        for i, g in enumerate(groups):
+            rank = np.array([_FREQUENT.index(c.lower()) if c.isalpha() else int(c) if c.isdigit() else 0 for c in g], dtype=float)
+            weight = 1 / (rank + 2)
+            here = kind == i
+            x[here] = rng.choice([alphabet.index(c) for c in g], int(here.sum()), p=weight / weight.sum())
+        return np.sort(_battery(x, encoding)[:, 3])
+
+    change = rng.random((rows, length)) < 1 / 7
+    change[:, 0] = True
+    drawn = rng.choice(len(groups), (rows, length), p=size / size.sum())
+    families = [judged(np.take_along_axis(drawn, np.maximum.accumulate(np.where(change, np.arange(length), 0), axis=1), axis=1))]
+    lower, upper = ([i for i, g in enumerate(groups) if g[0] in letters] for letters in (_LOWER, _UPPER))
+    if lower and upper:
+        first = rng.random((rows, length)) < 1 / 5
+        opener = np.where(rng.random((rows, length)) < 0.7, upper[0], rng.choice([i for i in range(len(groups)) if i not in lower], (rows, length)))
+        families.append(judged(np.where(first, opener, lower[0])))
+    return families
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
     """(start, end, stratum, p) of runs that no base span touches; the stratum is the encoding and the length's power of two."""
     if not _has_long_run(text):
         return []
-    out = []
+    out, starts = [], [s for s, _, _ in taken]  # in order
+    furthest = list(itertools.accumulate((e for _, _, e in taken), max))
     for m in _RUN.finditer(text):
-        if m.end() - m.start() >= _LEAST_RUN and not any(s < m.end() and m.start() < e for s, _, e in taken) and (enc := encoding_of(m.group())):
+        before = bisect.bisect_left(starts, m.end())  # spans that start before the run's end
+        if m.end() - m.start() >= _LEAST_RUN and not (before and furthest[before - 1] > m.start()) and (enc := encoding_of(m.group())):
             out.append((m.start(), m.end(), f"{enc}/{min(20, (m.end() - m.start()).bit_length())}", randomness(m.group(), enc)[3]))
     return out
 
@@ -143,36 +191,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def thresholds(scanned: DataFrame, rate: float = 0.1) -> dict[str, float]:
-    """For each stratum the least p from which runs count as secrets, or 2 where none do.
+    """For each stratum the least combined p-value from which runs count as secrets, or 2 where none do.
 
-    Uniform p-values put half their mass above one half, which gives the number of random runs; accepted
-    runs beyond them are false. A stratum with under 20 runs, or with fewer random ones than the rate needs at
-    least, is judged with all lengths of its encoding; an encoding of which that is true, with all encodings.
+    Of the runs from a value on, at most `rate` are expected to be ordinary strings: the share of simulated ones from
+    there on (in the family where it is larger, at the stratum's least length, where they look random most often), times
+    all runs of the stratum. Runs that the battery rejects at LEVEL count in no case.
     """
     runs = scanned.select(F.explode("runs").alias("r"))
     bins = runs.groupBy(F.col("r.stratum").alias("stratum"), F.least(F.floor(F.col("r.p") * _BINS), F.lit(_BINS - 1)).cast("int").alias("bin")).count()
     by: dict[str, np.ndarray] = {}
     for r in bins.collect():  # encodings x lengths x bins at most
-        for key in (r["stratum"], r["stratum"].split("/")[0], ""):
-            by.setdefault(key, np.zeros(_BINS))[r["bin"]] += r["count"]
-
-    def random(h: np.ndarray) -> int:
-        return 2 * int(h[_BINS // 2 :].sum())
-
-    def least(h: np.ndarray) -> float:
-        above = np.cumsum(h[::-1])[::-1]
-        for k in range(_BINS // 2 + 1):
-            if above[k] and (max(0.0, above[k] - random(h) * (1 - k / _BINS)) + 1) / above[k] <= rate:
+        by.setdefault(r["stratum"], np.zeros(_BINS))[r["bin"]] += r["count"]
+
+    def least(stratum: str) -> float:
+        encoding, _, bits = stratum.partition("/")
+        null = ordinary(encoding, max(_LEAST_RUN, 1 << (min(int(bits), 11) - 1)))
+        above = np.cumsum(by[stratum][::-1])[::-1]
+        for k in range(round(LEVEL * _BINS), _BINS):
+            share = max((1 + len(x) - np.searchsorted(x, k / _BINS)) / (1 + len(x)) for x in null)
+            if above[k] and share * above[0] <= rate * above[k]:
                 return k / _BINS
         return 2.0
 
-    def judged(stratum: str) -> np.ndarray:
-        own, encoding = by[stratum], by[stratum.split("/")[0]]
-        if own.sum() >= 20 and random(own) * rate >= 1:
-            return own
-        return encoding if random(encoding) * rate >= 1 else by[""]
-
-    return {s: least(judged(s)) for s in by if "/" in s}
+    return {s: least(s) for s in by}
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
