@@ -10,7 +10,11 @@ many leaves as put the target share of them in reach.
 
 Vectors that are null, all zero, hold null or non-finite components, or have another dimension than most
 rows (the smaller on a tie) take no part; nor do null ids. An id repeated with several vectors counts once
-for each. Fewer candidates than k are all returned. Empty tables give no rows.
+for each, and as a query asks with the least of them. Fewer candidates than k are all returned; ties go to
+the smaller id. Empty tables give no rows.
+
+Queries go out in blocks of some `ask` components (8 MB), broadcast; what is shuffled is which of them ask
+which leaf, not their vectors.
 """
 
 from __future__ import annotations
@@ -126,7 +130,7 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (dim["d"] if dim else 0))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, sample: int = 16_384, leaves: int = 1024, probes: int = 128, block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.96, sample: int = 16_384, leaves: int = 1024, probes: int = 128, block: int = 1024, ask: int = 1 << 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each row of df for which is_query holds."""
     spark = df.sparkSession
     queries_of = modest_batches(df).where(is_query)
@@ -172,30 +176,42 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, s
                         rows.append(i)
                         where.append(leaf)
                         seen += held[leaf]
-            yield b.take(pa.array(rows, pa.int64())).append_column("leaf", pa.array(where, pa.int32()))
-
-    visited = asked.mapInArrow(visit, f"id long, v {wide}, leaf int")
-    # queries of a leaf in blocks too, dealt by a hash of their id
-    share = F.pmod(F.xxhash64("id"), F.lit(max(1, asked.count() // block + 1)))
-    asks = visited.groupBy("leaf", share.alias("deal")).agg(F.collect_list(F.struct("id", "v")).alias("asks"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                rows, asked_rows = b.column(0)[r].values, b.column(1)[r].values
-                x, ids = _matrix(rows.field("v")), rows.field("ids")
-                q, q_ids = _matrix(asked_rows.field("v")), asked_rows.field("id").to_numpy()
-                out = {"query_id": [], "vec_id": [], "score": []}
-                for i, at, scores in _nearest(x, _unit(x), q, _unit(q), k):
-                    for a, s in zip(at.tolist(), scores.tolist(), strict=True):
-                        for v in ids[a].as_py():
-                            if v != q_ids[i]:
-                                out["query_id"].append(int(q_ids[i]))
-                                out["vec_id"].append(v)
-                                out["score"].append(s)
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    found = blocks.join(asks, "leaf").select("rows", "asks").mapInArrow(meet, "query_id long, vec_id long, score double")
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(where, pa.int32())], ["id", "leaf"])
+
+    def meeting(given):
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            all_ids, all_q, all_unit = given.value
+            for b in batches:
+                for r in range(b.num_rows):
+                    rows, q_ids = b.column(0)[r].values, b.column(1)[r].values.to_numpy()
+                    x, ids = _matrix(rows.field("v")), rows.field("ids")
+                    asking = np.searchsorted(all_ids, q_ids)
+                    out = {"query_id": [], "vec_id": [], "score": []}
+                    for i, at, scores in _nearest(x, _unit(x), all_q[asking], all_unit[asking], k):
+                        for a, s in zip(at.tolist(), scores.tolist(), strict=True):
+                            for v in ids[a].as_py():
+                                if v != q_ids[i]:
+                                    out["query_id"].append(int(q_ids[i]))
+                                    out["vec_id"].append(v)
+                                    out["score"].append(s)
+                    yield pa.RecordBatch.from_pydict(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+        return meet
+
+    count, found = asked.count(), None
+    deals = max(1, -(-count * dim // ask))
+    for deal in range(deals):
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(deals)) == deal)
+        some = own.orderBy("id").toArrow()  # about `ask` components
+        if not some.num_rows:
+            continue
+        q = _matrix(some.column("v").combine_chunks())
+        block_of = spark.sparkContext.broadcast((some.column("id").to_numpy(), q, _unit(q)))
+        asks = own.repartition(max(1, min(1000, some.num_rows // 64))).mapInArrow(visit, "id long, leaf int").groupBy("leaf").agg(F.sort_array(F.collect_list("id")).alias("asks"))
+        met = blocks.join(asks, "leaf").select("rows", "asks").mapInArrow(meeting(block_of), "query_id long, vec_id long, score double")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -203,7 +219,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, s
 def valid_vectors_like(queries: DataFrame, valid: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """The queries that take part: those whose vectors are among the valid ones."""
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
-    return valid.join(asked.distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return valid.join(asked.distinct(), "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
 
 
 def brute_force(valid: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
