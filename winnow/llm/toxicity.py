@@ -2,12 +2,14 @@
 
 A text's features are the hashed byte 3- to 6-grams of its lower-cased, space-collapsed whole text, as
 present or absent. The log-ratio of each feature's smoothed share among toxic and other labelled texts
-scales it; features with the largest ratios enter a logistic regression. The classifier is fitted on a
-bounded sample of labelled rows: `sample` rows (20,000 unless given), those with the least hash of their
-id among rows outside the held-out fold; every row of documents is scored.
+scales it; the `keep` features (8,192 unless given) that pull most, on `least` sampled texts (5) or more,
+enter a logistic regression. The classifier is fitted on a bounded sample of labelled rows: `sample` rows
+(20,000 unless given), those with the least hash of their id (ties: the least id) among rows outside the
+held-out fold, so the model does not depend on how rows are dealt; every row of documents is scored, whole.
 
 Null and empty texts have no features and score the model's intercept. Labels that are null are not used;
-a document labelled twice counts as toxic if either label says so. Without labels of both kinds every
+a document labelled twice counts as toxic if either label says so; of an id with several texts the least text
+is learned from. Without labels of both kinds every
 score is the share of toxic labels, or 0. Repeated rows are each returned.
 """
 
@@ -54,7 +56,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text
     one = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     few = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # the bound that makes it fit to be broadcast
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
-    return materialize(texts.join(F.broadcast(few), "_id").dropDuplicates(["_id"]).select("label", "text"), "labelled")
+    return materialize(texts.join(F.broadcast(few), "_id").groupBy("_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "labelled")
 
 
 def fit(rows: DataFrame, keep: int = 1 << 13, smooth: float = 1.0, l2: float = 3e-4, least: int = 5, steps: int = 200) -> tuple[np.ndarray, float]:
@@ -62,21 +64,29 @@ def fit(rows: DataFrame, keep: int = 1 << 13, smooth: float = 1.0, l2: float = 3
     spark = rows.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((2, 1 << BITS), dtype=np.int32), [0, 0]
+        total = np.zeros((2, 1 << BITS), dtype=np.int32)
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 total[label][grams(text.as_py())] += 1
-                n[label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(total.reshape(-1)[i : i + 4096].tobytes() for i in range(0, 2 << BITS, 4096)), pa.array(range(2 << (BITS - 12))), pa.array([n] * (2 << (BITS - 12)))], ["counts", "block", "n"])
+        # the features met, in blocks of 4096 numbers: their places in the block, and their counts
+        met = np.flatnonzero(total.reshape(-1))
+        blocks, first = np.unique(met >> 12, return_index=True)
+        parts = [(m & 4095).astype("<u2").tobytes() for m in np.split(met, first[1:])], [total.reshape(-1)[m].tobytes() for m in np.split(met, first[1:])]
+        if len(met):
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], ["block", "places", "counts"])
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), dtype=np.int32).astype(np.int64) for x in t.column("counts"))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([np.sum(t.column("n").to_pylist(), axis=0).tolist()], pa.list_(pa.int64()))})
-
-    parts = rows.mapInArrow(tidy(count), "counts binary, block long, n array<long>").groupBy("block").applyInArrow(add, "block long, counts binary, n array<long>")
-    blocks = sorted(parts.collect())  # the size of the feature space, whatever the corpus
-    counts = np.concatenate([np.frombuffer(bytes(r["counts"]), dtype=np.int64) for r in blocks]).reshape(2, -1) if blocks else np.zeros((2, 1 << BITS))
-    n_neg, n_pos = blocks[0]["n"] if blocks else (0, 0)
+        total = np.zeros(4096, dtype=np.int64)
+        for places, counts in zip(t.column("places"), t.column("counts"), strict=True):
+            total[np.frombuffer(places.as_py(), dtype="<u2")] += np.frombuffer(counts.as_py(), dtype=np.int32)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.astype("<i4").tobytes()], pa.binary())})
+
+    parts = rows.mapInArrow(tidy(count), "block long, places binary, counts binary").groupBy("block").applyInArrow(add, "block long, counts binary")
+    counts = np.zeros((2, 1 << BITS), dtype=np.int32)
+    for r in parts.toLocalIterator():  # the size of the feature space, whatever the corpus
+        counts.reshape(-1)[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(bytes(r["counts"]), dtype="<i4")
+    n_by = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n_neg, n_pos = n_by.get(0, 0), n_by.get(1, 0)
     weights = np.zeros(1 << BITS, dtype=np.float32)
     if not n_neg or not n_pos:
         share = min(max(n_pos / max(1, n_neg + n_pos), 1e-6), 1 - 1e-6) if n_neg + n_pos else 1e-6
