@@ -623,6 +623,35 @@ def test_repeated_substrings_of_a_host_go_and_unique_runs_stay():
     assert boilerplate.extract_group([f"<article><p>{shared}</p><p>{i}</p></article>" for i in range(5)], 8) == [f"{shared}\n{i}" for i in range(5)]
 
 
+def test_repeats_decide_where_markup_tells_nothing(spark):
+    """Bare <div>s: menus, a short advert, header and footer go, prose stays; also if pages are scanned one by one."""
+    rng = random.Random(12)
+    prose = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(40))
+    rows, want = [], {}
+    for i in range(6):
+        own = [prose(), prose(), "Short end."]
+        menu = "".join(f"<div><a href='/x'>{w}</a></div>" for w in rng.sample(["Home", "News", "Sport", "About"], 3))
+        page = f"<div>The Daily Something, every day anew since the year 1901</div>{menu}<div>Buy two now</div>" + "".join(f"<div>{x}</div>" for x in own[:2])
+        page += f"<div>{own[2] if i < 2 else ''}</div><div>Page {i} &copy; by the Daily Something and all of its many owners</div>"
+        rows.append((i, "http://h.example/x", page))
+        want[i] = "\n".join(own[: 3 if i < 2 else 2])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1 << 20, 1):
+        assert {r["page_id"]: r["text"] for r in boilerplate.extract(df, group_bytes=size).collect()} == want
+    assert boilerplate.extract_group([r[2] for r in rows], 8) == list(want.values())
+
+
+def test_stripped_driver_pages(spark, sf_dir):
+    """The driver's pages without their telling elements and classes: every menu goes, nearly all of the article stays."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", r"<(/?)(article|nav|footer)\b[^>]*>", "<$1div>"), r' class="[^"]*"', "")
+    want = {r["page_id"]: r["text"].split("\n") for r in boilerplate.extract(pages).collect()}
+    got = {r["page_id"]: r["text"].split("\n") for r in boilerplate.extract(pages.withColumn("html", bare)).collect()}
+    menus = {r["page_id"]: re.findall(r"<li><a[^>]*>([^<]*)</a></li>", r["html"]) for r in pages.collect()}
+    assert not any(set(menus[i]) & (set(got[i]) - set(want[i])) for i in want)
+    assert sum(len(set(want[i]) & set(got[i])) for i in want) >= 0.9 * sum(len(set(w)) for w in want.values())
+
+
 def test_classes_name_parts_but_not_containers():
     pages = ["<div class='content with-sidebar'><p>keep</p></div><div class=sidebar>x</div>", "<article class='post'><p>a</p><article class='comment'>c</article><p>b</p></article>", "<header>h</header><div class='page-header'>q</div><p>t", "<div id=cookieNotice>c</div><p>u</p><form>f</form><div role=banner>b</div>"]
     assert boilerplate.extract_group(pages, 8) == ["keep", "a\nb", "t", "u"]

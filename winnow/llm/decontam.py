@@ -223,7 +223,7 @@ def search(index: DataFrame, items: DataFrame, window: int = 13, block_words: in
     The items' words are read in blocks of about block_words, each a search of its own.
     """
     spark = index.sparkSession
-    words = materialize(item_tokens(items, window, id_col, text_col), "items")
+    words = materialize(item_tokens(items, window, id_col, text_col).distinct(), "items")  # rows that repeat ask once
     total = words.agg(F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0.0))).first()[0]
     blocks = max(1, math.ceil(total / block_words))
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()

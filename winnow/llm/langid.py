@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.llm.common import held_out, modest_batches, small_slices
@@ -200,7 +200,8 @@ def sample_words(docs: DataFrame, per_language: int, words: int) -> tuple[dict[s
 
     total = some.mapInArrow(each, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {g: Counter() for g in sizes}
-    for r in total.orderBy(F.desc("n"), "lang", "word").limit(words * len(sizes)).toLocalIterator():  # bounded by `words`
+    most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    for r in total.withColumn("nth", most).where(F.col("nth") <= words).toLocalIterator():  # `words` a language at most
         counts[r["lang"]][r["word"].encode("utf-8", "surrogatepass")] = r["n"]
     return sizes, counts
 
