@@ -27,12 +27,27 @@ def one(spark, value, fn):
         ("a<br>b", "a b"),
     ],
 )
-def test_clean_text(raw, want):
-    assert text.clean(raw or "") == want
+def test_clean_text(spark, raw, want):
+    assert one(spark, raw, text.clean_text) == want
 
 
-def test_plain_math_keeps_comparisons():
-    assert text.plain_math("for 1<p<2 and <i>x</i> &lt; y <p<1") == "for 1<p<2 and x < y <p<1"
+def test_markup_of_any_shape(spark):
+    cases = {"a<!-- <p> -->b": "ab", "x <a title='1>2'>y</a> z": "x y z", "<jats:P>one</jats:P><br/>two": "one two", "3 < 4 &amp;amp; 5": "3 < 4 & 5", "end <p unclosed": "end", "no\u00a0marks\x1chere": "no marks here"}
+    assert {k: one(spark, k, text.clean_text) for k in cases} == cases
+
+
+def test_plain_math_keeps_comparisons(spark):
+    assert one(spark, "for 1<p<2 and <i>x</i> &lt; y <p<1", text.plain_math_text) == "for 1<p<2 and x < y <p<1"
+
+
+def test_last_cut_needs_a_sentence_before_it(spark):
+    assert one(spark, "A result. 1. introduction and more", text.cut_abstract) == "A result." and one(spark, "A 1. introduction", text.cut_abstract) == "A 1. introduction"
+
+
+def test_a_missing_anchor_is_an_error(spark):
+    df = spark.createDataFrame([("a", "T", "words", "j")], "paper_id string, title string, abstract string, journal_id string")
+    with pytest.raises(Exception, match="the text to start from is missing: a"):
+        rules.clean_papers(df, keep_from={"a": "START"})[1].collect()
 
 
 @pytest.mark.parametrize("raw, want", [("Straße  &amp; x+y..", "strasse & x+y"), ("ﬁne\tTitle", "fine title"), ("", "")])
@@ -130,10 +145,17 @@ def test_variants(spark):
     assert got == {"a": ("accepted", 1), "b": clash, "c": clash, "d": ("r1", None)}
 
 
-def test_quotas():
-    assert sampling.quotas(10, {"a": 5, "b": 3, "c": 2}, {"a": 2, "b": 10, "c": 10}) == {"a": 2, "b": 5, "c": 3}
-    assert sampling.quotas(7, {}, {"a": 10, "b": 10}) == {"a": 4, "b": 3}
-    assert sum(sampling.quotas(100, {"a": 1}, {"a": 5, "b": 6}).values()) == 11
+def test_quotas(spark):
+    quotas = lambda total, rows: dict(sampling.quotas(spark.createDataFrame(rows, "k string, w double, c long"), "k", "w", "c", total).collect())
+    assert quotas(10, [("a", 5.0, 2), ("b", 3.0, 10), ("c", 2.0, 10)]) == {"a": 2, "b": 5, "c": 3}
+    assert quotas(7, [("a", None, 10), ("b", None, 10)]) == {"a": 4, "b": 3}
+    assert sum(quotas(100, [("a", 1.0, 5), ("b", None, 6)]).values()) == 11 and quotas(5, []) == {}
+
+
+@pytest.mark.parametrize("total, minimum, weights", [(1, 1, [1, 2]), (10, -1, [1, 2]), (10, 1, [1, -2])])
+def test_floor_quotas_refuses(spark, total, minimum, weights):
+    with pytest.raises(ValueError):
+        sampling.floor_quotas(spark.createDataFrame(list(enumerate(weights)), "k long, w long"), "k", "w", total, minimum)
 
 
 def test_floor_quotas(spark):
@@ -172,12 +194,15 @@ def test_metrics_with_a_target_that_is_no_candidate(spark):
     assert (m["n"], m["candidate_recall"], m["top1"], m["top3"], m["mrr"], m["conditional_top1"], m["macro_top3"]) == (2, 0.5, 0, 0.5, 0.25, 0, 0.5)
 
 
-def test_bootstrap_follows_the_seeded_stream(spark):
-    deltas = [0, 1, -1, 1, 0, 1]
+def test_bootstrap_draws_from_the_counts(spark):
+    deltas = [0, 1, -1, 1, 0, 1] * 50
     df = spark.createDataFrame(list(enumerate(deltas)), "paper_id long, delta int")
-    rng = random.Random(42)
-    draws = sorted(sum(rng.choices(deltas, k=6)) / 6 for _ in range(100))
-    assert tuple(evaluation.bootstrap(df, samples=100).first()) == (sum(deltas) / 6, draws[2], draws[97], 100)
+    got = evaluation.bootstrap(df).first()
+    rng = random.Random(1)
+    draws = sorted(sum(rng.choices(deltas, k=300)) / 300 for _ in range(2000))
+    assert got == evaluation.bootstrap(df.repartition(7)).first() and got["samples"] == 2000 and got["top3_delta"] == pytest.approx(1 / 3)
+    assert abs(got["low"] - draws[50]) < 0.02 and abs(got["high"] - draws[1950]) < 0.02
+    assert evaluation.bootstrap(df.limit(0)).count() == 0
 
 
 def test_stopping_after_three_bad_checks(spark):

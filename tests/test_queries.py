@@ -47,7 +47,7 @@ def test_metadata_variants_go_over_all_events(spark, sf_dir):
     assert {r["outcome"] for r in rows} >= {"accepted", "conflicting_metadata_versions", "not_error", "not_signup"}
 
 
-def test_paired_bootstrap_draws_as_the_reference(spark, sf_dir):
+def test_paired_bootstrap_draws_2000_samples(spark, sf_dir):
     assert entry.queries()["paired_bootstrap"](spark, sf_dir).first()["samples"] == 2000
 
 

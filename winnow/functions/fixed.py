@@ -1,14 +1,9 @@
 """Word lists, patterns and limits that results depend on."""
 
-# Fixed values. Titles that open with one of these words, or hold one of the second or third list, are no works.
-TITLE_PREFIXES = ["publisher", "author"]
-TITLE_OPENERS = [
-    "correction", "corrigendum", "corrigenda", "erratum", "errata", "retraction", "retracted", "editorial", "guest editorial", "foreword", "preface",
-    r"front[\s-]*matter", r"back[\s-]*matter", "contents", "table of contents", "index to", "author index", "subject index",
-    "list of referees", "special issue", "masthead", "information for authors", "issue information",
-]
-TITLE_ANYWHERE = [r"front[\s-]*matter", r"back[\s-]*matter", "table of contents", "corrigendum", "erratum", "obituary"]
-TITLE_NOTICES = ["corrigenda", "errata"]
+# Fixed values. Titles that match one of these, whatever the case, are no works.
+TITLE_OPENERS = r"^(?:(?:publisher|author)\s+)?(?:correction|corrigendum|corrigenda|erratum|errata|retraction|retracted|editorial|guest editorial|foreword|preface|front[\s-]*matter|back[\s-]*matter|contents|table of contents|index to|author index|subject index|list of referees|special issue|masthead|information for authors|issue information)\b"
+TITLE_ANYWHERE = r"\b(?:front[\s-]*matter|back[\s-]*matter|table of contents|corrigendum|erratum|obituary)\b"
+TITLE_NOTICES = r"\b(?:corrigenda|errata)\s*(?:to\b|$)"
 
 # Fixed values. Titles that name a kind of section and identify no work.
 GENERIC_TITLES = ["introduction"]
@@ -22,6 +17,8 @@ ABSTRACT_CUTS = [
     r"(?:\b\d{2}[A-Z]\d{2}(?:\s*[,;]\s*\d{2}[A-Z]\d{2})*\s*)?\b1\.\s*Introduction\s+\d{1,5}\b",
     r"(?<=\.)\s*1\.\s*introduction\b",
 ]
+#: Of each, what every match holds in lower case: a plain search tells that a text has none.
+ABSTRACT_CUT_WORDS = [r"©|\(c\)|copyright", r"msc", r"subject", r"eywords", r"introduction", r"introduction"]
 DANGLING_CODES = r"\s*\b\d{2}[A-Z]\d{2}(?:\s*[,;]\s*\d{2}[A-Z]\d{2})*\s*$"
 LEAST_WORDS = 15
 
@@ -31,15 +28,25 @@ FIRST_YEAR, LAST_YEAR = 2016, 2025
 # Fixed values. Admissions: (client, all) in the last minute and hour.
 PER_MINUTE, PER_HOUR = (6, 12), (40, 300)
 
-# Fixed values. Markup names that are stripped from text about mathematics; anything else after "<" is text.
-MARKUP_PREFIXES = ["jats", "mml", "math"]
-MARKUP = [
-    "p", "br", "title", "abstract", "inline-formula", "disp-formula", "tex-math", "math", "mrow", "mi", "mn", "mo", "msub", "msup", "msubsup", "mfrac", "msqrt",
-    "mtext", "semantics", "annotation", "i", "b", "em", "strong", "sup", "sub", "span",
-]
+# Fixed values. Markup that is stripped from text about mathematics; anything else after "<" is text.
+MARKUP = r"</?(?:(?:jats|mml|math):)?(?:p|br|title|abstract|inline-formula|disp-formula|tex-math|math|mrow|mi|mn|mo|msub|msup|msubsup|mfrac|msqrt|mtext|semantics|annotation|i|b|em|strong|sup|sub|span)(?:\s+[^<>]*?)?\s*/?>"
 
-# Fixed values. Publication notices that are taken out of abstracts.
-NOTICE_OPENERS = [r"This (?:paper|article) (?:has been |was |is )?(?:accepted|published)", r"Published (?:in|online)", "To appear in", "Accepted for publication in"]
+# Fixed values. The label, the publication notices and the rights that are taken out of abstracts.
+ABSTRACT_TITLE = r"<(?:\w+:)?title[^>]*>\s*Abstract\s*</(?:\w+:)?title>"
+ABSTRACT_LABEL = r"^\s*Abstract\s*[:.]\s*"
+PUBLICATION_NOTICE = r"(?:^|(?<=[.!?])\s+)(?:This (?:paper|article) (?:has been |was |is )?(?:accepted|published)|Published (?:in|online)|To appear in|Accepted for publication in)[^\n.!?]*(?:[.!?](?=\s|$)|\n|$)"
+RIGHTS = r"(?:©|Copyright\s*\(?[cC]?\)?).*$"
 
 # Fixed values. Font macros of TeX that are dropped before titles are compared.
-TEX_FONTS = ["mathbb", "mathcal", "mathrm", "mathbf", "mathfrak", "operatorname", "text", "mathsf", "mathscr"]
+TEX_FONTS = r"\\(?:mathbb|mathcal|mathrm|mathbf|mathfrak|operatorname|text|mathsf|mathscr)\b"
+
+# Fixed values. Reasons for setting a record aside, with the field and the pattern; a later one overrides.
+SET_ASIDE = [
+    ("corrupted or incomplete source title", "title", r"\x{FFFD}|\b(?:for|of|in)\s*<\s*$"),
+    ("award notice", "title", r"(?i)\bPaper Award\b"),
+    ("special-issue introduction", "abstract", r"^This special issue"),
+    ("PhD-thesis summary, not a research article", "abstract", r"(?i)\bthis (?:thesis|dissertation)\b"),
+    ("unresolved equation-image identifiers in abstract", "abstract", r"urn:x-wiley:"),
+    ("unrecoverable replacement characters in abstract", "abstract", r"\x{FFFD}"),
+]
+TOO_SHORT = "insufficient text after conservative cleanup"

@@ -49,23 +49,20 @@ def clean_papers(papers: DataFrame, quarantine: Mapping[str, str] = {}, keep_fro
     """
     pid, title, abstract = F.col("paper_id"), F.col("title"), F.col("abstract")
     lookup = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[pid] if m else F.lit(None).cast("string")
-    reason = last_failing(
-        [
-            ("corrupted or incomplete source title", title.contains("�") | title.rlike(r"\b(?:for|of|in)\s*<\s*$")),
-            ("award notice", title.rlike(r"(?i)\bPaper Award\b")),
-            ("special-issue introduction", abstract.startswith("This special issue")),
-            ("PhD-thesis summary, not a research article", F.col("journal_id").isin(*thesis_journals) & abstract.rlike(r"(?i)\bthis (?:thesis|dissertation)\b")),
-            ("unresolved equation-image identifiers in abstract", abstract.contains("urn:x-wiley:")),
-            ("unrecoverable replacement characters in abstract", abstract.contains("�") & ~pid.isin(*allow_replacement)),
-        ]
-    )
+    exempt = {  # rules that hold for some journals, or not for some records, only
+        "PhD-thesis summary, not a research article": F.col("journal_id").isin(*thesis_journals),
+        "unrecoverable replacement characters in abstract": ~pid.isin(*allow_replacement),
+    }
+    reason = last_failing([(why, F.col(field).rlike(pattern) & exempt.get(why, F.lit(True))) for why, field, pattern in fixed.SET_ASIDE])
     marked = papers.withColumns({"_reason": F.coalesce(reason, lookup(quarantine)), "_from": lookup(keep_from), "_stop": lookup(cut_before)})
-    kept = F.when(F.col("_from").isNotNull() & (F.instr(abstract, F.col("_from")) > 0), F.expr("substr(abstract, locate(_from, abstract))")).otherwise(abstract)
+    # a reviewed decision that no longer fits its record is an error, not a rule to pass over
+    fits = F.assert_true(F.instr(abstract, F.col("_from")) > 0, F.concat(F.lit("the text to start from is missing: "), pid))
+    kept = F.when(F.col("_from").isNotNull() & F.col("_reason").isNull(), F.expr("substr(abstract, locate(_from, abstract))") if not keep_from else F.coalesce(fits.cast("string"), F.expr("substr(abstract, locate(_from, abstract))"))).otherwise(abstract)
     cut = marked.withColumn("_cut", kept)
     cut = cut.withColumn("_cut", F.expr("CASE WHEN _stop IS NOT NULL AND locate(_stop, _cut) > 0 THEN left(_cut, locate(_stop, _cut) - 1) ELSE _cut END"))
     plain = cut.withColumns({"_title": text.plain_math_text(title), "_abstract": text.drop_dangling_codes(text.plain_math_text(text.cut_abstract(F.col("_cut"))))})
     short = (text.word_count(F.col("_abstract")) < fixed.LEAST_WORDS) | (F.col("_title") == "")
-    judged = plain.withColumn("_reason", F.coalesce("_reason", F.when(short, "insufficient text after conservative cleanup")))
+    judged = plain.withColumn("_reason", F.coalesce("_reason", F.when(short, fixed.TOO_SHORT)))
     changed = F.array_compact(F.array(F.when(title != F.col("_title"), "title"), F.when(abstract != F.col("_abstract"), "abstract")))
     other = [c for c in papers.columns if c not in ("title", "abstract")]
     good = judged.where("_reason IS NULL").select(*other, F.col("_title").alias("title"), F.col("_abstract").alias("abstract"))

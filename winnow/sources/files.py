@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,9 +51,11 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files under path."""
+    """(name, bytes, sha256) of the files under the folder path, named by their path below it."""
+    bare = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
+    root = re.sub(bare, "/", path if re.match(bare, path) else os.path.abspath(path)).rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return rows.select(F.expr(f"substr(regexp_replace(path, r'{bare}', '/'), {len(root) + 1})").alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def differing_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
