@@ -181,6 +181,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: i
 
 #: How many of a text's least shingle hashes name the tiles it is compared in.
 KEYS = 8
+#: Lists of at most so many hashes are broadcast; longer ones are joined by shuffle.
+BROADCAST = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = 500_000
 _words: dict[bytes, int] = {}
@@ -259,11 +261,14 @@ def _sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Data
     return rows.mapInArrow(tidy(each), f"doc_id {kind}, node binary, size long, f0 long, f1 long, least array<long>")
 
 
-def _blocked(rows: DataFrame, tile: str, weight, limit: int, columns: list[str]) -> DataFrame:
-    """(left, right, same): all pairs of blocks of each tile with two rows or more, a block holding about `limit` of the
-    weight; right is null where a tile is one block, which is compared with itself."""
+def _dealt(rows: DataFrame, tile: str, weight, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(tile, parts) of the tiles with two rows or more, and their rows with part and parts: a part has some `limit` of the weight."""
     sizes = materialize(rows.groupBy(tile).agg(F.count("*").alias("n"), F.ceil(F.sum(weight) / limit).cast("int").alias("parts")).where("n > 1").select(tile, "parts"), "sizes")
-    dealt = rows.join(sizes, tile).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return sizes, rows.join(sizes, tile).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def _block_pairs(sizes: DataFrame, dealt: DataFrame, tile: str, columns: list[str]) -> DataFrame:
+    """(left, right, same): all pairs of blocks of each tile; right is null where a tile is one block, compared with itself."""
     blocks = materialize(dealt.groupBy(tile, "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct(*columns)).alias("block")), "tiles")
     alone = blocks.where("parts = 1").select(F.col("block").alias("left"), F.lit(None).cast(blocks.schema["block"].dataType).alias("right"), F.lit(True).alias("same"))
     many = blocks.where("parts > 1")
@@ -284,7 +289,7 @@ def candidate_links(nodes: DataFrame, radius: int, similarity: float, block: int
     """(a, b): nodes of fitting sizes that share a tile and differ in at most radius bits; a spanning forest of these for each batch of
     small tiles and each pair of blocks of a large one."""
     keyed = nodes.select("node", "size", "f0", "f1", F.explode("least").alias("tile"))
-    pairs = _blocked(keyed, "tile", F.lit(1), block, ["node", "size", "f0", "f1"])
+    pairs = _block_pairs(*_dealt(keyed, "tile", F.lit(1), block), "tile", ["node", "size", "f0", "f1"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,9 +327,10 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def exact_links(members: DataFrame, radius: int, similarity: float, block_bytes: int = 1 << 20) -> DataFrame:
-    """(a, b): spanning links, by shingle sets, between the members (component, node, f0, f1, hashes) of each component."""
-    pairs = _blocked(members, "component", 64 + F.octet_length("hashes"), block_bytes, ["node", "f0", "f1", "hashes"])
+def exact_links(members: DataFrame, sets: DataFrame, radius: int, similarity: float, block_bytes: int = 1 << 20) -> DataFrame:
+    """(a, b): spanning links, by shingle sets (node, hashes), between the members (component, node, size, f0, f1) of each component."""
+    sizes, dealt = _dealt(members, "component", 64 + 8 * F.col("size"), block_bytes)  # the sets join what is dealt already
+    pairs = _block_pairs(sizes, dealt.join(sets, "node"), "component", ["node", "f0", "f1", "hashes"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -361,7 +367,7 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
     found = materialize(_sketches(docs, shingle, id_col, text_col), "sketches")
     nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("owner"), *[F.first(c).alias(c) for c in ("size", "f0", "f1", "least")]), "nodes")
     near = connected_components(candidate_links(nodes, radius, similarity))
-    members = materialize(nodes.join(near, "node").select("node", "component", "owner", "f0", "f1"), "members")
+    members = materialize(nodes.join(near, "node").select("node", "component", "owner", "size", "f0", "f1"), "members")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -369,10 +375,13 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
                 sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-    # texts are read again only for what is near: one row of each node, named by its owner
-    texts = docs.select(F.col(id_col).alias("owner"), text_of(text_col).alias("text")).join(members.select("owner").distinct(), "owner", "left_semi").dropDuplicates(["owner", "text"])
-    sets = modest_batches(texts).select("owner", "text").mapInArrow(tidy(each), "node binary, hashes binary").dropDuplicates(["node"])
-    links = exact_links(members.join(sets, "node").select("component", "node", "f0", "f1", "hashes"), radius, similarity)
+    # texts are read again only for what is near: one row of each node, named by its owner. The filter is by a hash, so
+    # that a list of up to BROADCAST is 8 bytes a row; what it lets through in error has a node that is no member.
+    wanted = materialize(members.select(F.xxhash64("owner").alias("h")).distinct(), "wanted")
+    rows = docs.select(F.xxhash64(id_col).alias("h"), text_of(text_col).alias("text"))
+    texts = modest_batches(rows).join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "h", "left_semi")
+    sets = texts.select("h", "text").mapInArrow(tidy(each), "node binary, hashes binary").dropDuplicates(["node"])
+    links = exact_links(members.drop("owner"), sets, radius, similarity)
     parts = connected_components(links)
     linked = nodes.join(parts, "node", "left").select("node", "owner", F.coalesce("component", "node").alias("component"))
     ids = linked.groupBy("component").agg(F.min("owner").alias("component_id"))
