@@ -17,8 +17,8 @@ ABSTRACT_CUTS = [
     r"(?:\b\d{2}[A-Z]\d{2}(?:\s*[,;]\s*\d{2}[A-Z]\d{2})*\s*)?\b1\.\s*Introduction\s+\d{1,5}\b",
     r"(?<=\.)\s*1\.\s*introduction\b",
 ]
-#: Of each, what every match holds in lower case: a plain search tells that a text has none.
-ABSTRACT_CUT_WORDS = [r"©|\(c\)|copyright", r"msc", r"subject", r"eywords", r"introduction", r"introduction"]
+#: Of each, one of which every match holds in lower case: a plain search tells that a text has none.
+ABSTRACT_CUT_WORDS = [["©", "(c)", "copyright"], ["msc"], ["subject"], ["eywords"], ["introduction"], ["introduction"]]
 DANGLING_CODES = r"\s*\b\d{2}[A-Z]\d{2}(?:\s*[,;]\s*\d{2}[A-Z]\d{2})*\s*$"
 LEAST_WORDS = 15
 
@@ -50,3 +50,12 @@ SET_ASIDE = [
     ("unrecoverable replacement characters in abstract", "abstract", r"\x{FFFD}"),
 ]
 TOO_SHORT = "insufficient text after conservative cleanup"
+
+# Fixed values. Tokens of a query, of a request's state and of a whole request.
+QUERY_TOKENS, STATE_TOKENS, REQUEST_TOKENS = 768, 5504, 6144
+
+# Fixed values. The service's paths, the largest bodies they take, its name, and the codes it may tell.
+SUGGEST_PATH, IMPORT_PATH = "/api/suggest", "/api/import/arxiv"
+SUGGEST_BYTES, IMPORT_BYTES = 150000, 2000
+SITE = r"^[a-z0-9]+(?:[.-][a-z0-9]+)*\.[a-z]{2,}$"
+OUT_OF_SCOPE, UNAVAILABLE = "arxiv_out_of_scope", "arxiv_unavailable"

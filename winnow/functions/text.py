@@ -9,6 +9,7 @@ import ipaddress
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,8 +49,12 @@ _unmathed = _series(lambda v: _without(_MATH_TAG, html.unescape(v)) if _marked(v
 _SPACE = r"[\s\x{1C}-\x{1F}]+"
 
 
+#: White space that is not one plain space already.
+_UNEVEN = r" [\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}&&[^ ]][\s\x{1C}-\x{1F}]*"
+
+
 def _squeezed(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"(?U){_SPACE}", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(c, f"(?U){_UNEVEN}", " "))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -162,15 +167,29 @@ def unsuitable_title(c: Column) -> Column:
 
 
 def cut_abstract(c: Column) -> Column:
-    """Cut at the first match of each pattern in turn. A plain search comes first, as most texts have none."""
-    for pattern, word in zip(fixed.ABSTRACT_CUTS, fixed.ABSTRACT_CUT_WORDS, strict=True):
-        cut = lambda x: F.when(F.lower(x).rlike(word), F.regexp_replace(x, f"(?isU)(?:{pattern}).*$", "")).otherwise(x)  # noqa: E731, B023
-        c = F.element_at(F.transform(F.array(c), cut), 1)  # x stands for c, so that c is named once
-    return c
+    """Cut at the first match of each pattern in turn. A plain search comes first, as most texts have none: a pattern
+    that the whole text does not call for is not called for by a part of it."""
+    pair = F.struct(c.alias("x"), F.lower(c).alias("low"))
+
+    def cut(pattern: str, words: list[str]):
+        met = lambda p: reduce(Column.__or__, [F.contains(p["low"], F.lit(w)) for w in words])
+        return lambda p: F.struct(F.when(met(p), F.regexp_replace(p["x"], f"(?isU)(?:{pattern}).*$", "")).otherwise(p["x"]).alias("x"), p["low"].alias("low"))
+
+    for pattern, words in zip(fixed.ABSTRACT_CUTS, fixed.ABSTRACT_CUT_WORDS, strict=True):
+        pair = F.element_at(F.transform(F.array(pair), cut(pattern, words)), 1)  # p stands for the pair, so that it is named once
+    return pair["x"]
+
+
+def has_words(c: Column, n: int) -> Column:
+    """Whether a text has n words or more; the text is not split further than that."""
+    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+", n + 2), lambda w: w != "")) >= n
 
 
 def drop_dangling_codes(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"(?U){fixed.DANGLING_CODES}", ""), r"(?U)^\s+|\s+$", "")
+    """c without subject codes at its end and space around it. A look at its ends tells most texts that need nothing."""
+    codes = lambda x: F.when(F.right(x, F.lit(1)).rlike(r"(?U)[\d\s]"), F.regexp_replace(x, f"(?U){fixed.DANGLING_CODES}", "")).otherwise(x)
+    space = lambda x: F.when(F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(r"(?U)\s"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x)
+    return F.element_at(F.transform(F.transform(F.array(c), codes), space), 1)
 
 
 def arxiv_id(c: Column) -> Column:

@@ -70,3 +70,14 @@ def common_values(df: DataFrame, group: str, values: str) -> DataFrame:
     found = full.groupBy(group).agg(F.array_sort(F.collect_list("v")).alias("common"))
     empty = F.array().cast(found.schema["common"].dataType)
     return size.join(found, group, "left").select(group, F.coalesce("common", empty).alias("common"))
+
+
+def match_log(left: DataFrame, right: DataFrame, on: Sequence[str], id_col: str, accept: Column | None = None) -> DataFrame:
+    """(id, found, accepted, outcome) of every row of left: `matched` by one row of right that passes accept, `none` where no row
+    has its keys, `mismatch` where none of those passes, `ambiguous` where several do. unique_match keeps the first kind."""
+    there = right.withColumn("_there", F.lit(True))
+    joined = left.join(there, list(on), "left")
+    passed = F.coalesce(F.col("_there"), F.lit(False)) & (F.coalesce(accept, F.lit(False)) if accept is not None else F.lit(True))
+    n = joined.groupBy(id_col).agg(F.count("_there").alias("found"), F.count_if(passed).alias("accepted"))
+    outcome = F.when(F.col("found") == 0, "none").when(F.col("accepted") == 0, "mismatch").when(F.col("accepted") == 1, "matched").otherwise("ambiguous")
+    return n.withColumn("outcome", outcome)

@@ -60,8 +60,11 @@ def clean_papers(papers: DataFrame, quarantine: Mapping[str, str] = {}, keep_fro
     kept = F.when(F.col("_from").isNotNull() & F.col("_reason").isNull(), F.expr("substr(abstract, locate(_from, abstract))") if not keep_from else F.coalesce(fits.cast("string"), F.expr("substr(abstract, locate(_from, abstract))"))).otherwise(abstract)
     cut = marked.withColumn("_cut", kept)
     cut = cut.withColumn("_cut", F.expr("CASE WHEN _stop IS NOT NULL AND locate(_stop, _cut) > 0 THEN left(_cut, locate(_stop, _cut) - 1) ELSE _cut END"))
-    plain = cut.withColumns({"_title": text.plain_math_text(title), "_abstract": text.drop_dangling_codes(text.plain_math_text(text.cut_abstract(F.col("_cut"))))})
-    short = (text.word_count(F.col("_abstract")) < fixed.LEAST_WORDS) | (F.col("_title") == "")
+    stripped = cut.withColumns({"_title": text.plain_math_text(title), "_abstract": text.plain_math_text(text.cut_abstract(F.col("_cut")))})
+    # by way of a generator, filters on the results stay above it, and texts are not worked on once for a filter and once for a column
+    done = F.struct(F.col("_title").alias("_t"), text.drop_dangling_codes(F.col("_abstract")).alias("_a"))
+    plain = stripped.select("*", F.inline(F.array(done))).drop("_title", "_abstract").withColumnsRenamed({"_t": "_title", "_a": "_abstract"})
+    short = ~text.has_words(F.col("_abstract"), fixed.LEAST_WORDS) | (F.col("_title") == "")
     judged = plain.withColumn("_reason", F.coalesce("_reason", F.when(short, fixed.TOO_SHORT)))
     changed = F.array_compact(F.array(F.when(title != F.col("_title"), "title"), F.when(abstract != F.col("_abstract"), "abstract")))
     other = [c for c in papers.columns if c not in ("title", "abstract")]

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.functions import numeric, records, text
+from winnow.functions import fixed, numeric, records, text
 from winnow.operators import evaluation, joins
 
 
@@ -123,16 +123,73 @@ def refine_titles(rows: DataFrame, unsuitable: Column) -> tuple[DataFrame, DataF
     return rows.where(~unsuitable), rows.where(unsuitable).withColumn("reason", F.lit("unsuitable_title"))
 
 
-def catalog_status(catalog: DataFrame, directory: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(journal_id, issns, verified) of a catalog (journal_id, journal_name) against a directory (title, issns) by
-    name key: reviewed ISSNs (journal_id, issns) win; several titles must share an ISSN; bad checksums drop out."""
+def refined_audit(audit: DataFrame, removed: DataFrame, group: str = "journal_id") -> DataFrame:
+    """audit (group, eligible, rejections map) after `removed` (group, reason) went: each leaves the eligible rows and counts for its
+    reason. Groups that lose nothing stay as they are; more removed than were eligible is an error."""
+    n = removed.groupBy(group, "reason").count().groupBy(group).agg(F.sum("count").alias("_n"), F.map_from_entries(F.collect_list(F.struct("reason", "count"))).alias("_more"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    both = audit.join(n, group, "left").withColumns({"_n": F.coalesce("_n", F.lit(0)), "_more": F.coalesce("_more", none)})
+    ok = F.assert_true(F.col("eligible") >= F.col("_n"), F.concat(F.lit("more removed than eligible: "), F.col(group).cast("string")))
+    total = F.map_zip_with(F.coalesce("rejections", none), "_more", lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    return both.where(ok.isNull()).select(group, (F.col("eligible") - F.col("_n")).alias("eligible"), total.alias("rejections"))
+
+
+def request_lengths(rows: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
+    """rows (title, abstract, request, candidates) with query_tokens, state_tokens, request_tokens and choice_count; count gives a text's
+    tokens. The state is what the request says of the paper; a query counts for its first 768 tokens."""
+    state = F.get_json_object("request", "$.state")
+    query = F.least(count(F.concat_ws("\n", "title", "abstract")), F.lit(fixed.QUERY_TOKENS))
+    return rows.withColumns({"query_tokens": query, "state_tokens": count(state), "request_tokens": count(F.col("request")), "choice_count": F.size("candidates")})
+
+
+def budget_violations(rows: DataFrame, n_options: int, max_state: int = fixed.STATE_TOKENS, max_request: int = fixed.REQUEST_TOKENS) -> DataFrame:
+    """(paper_id, violation) of requests with their lengths that exceed a budget or have lost choices."""
+    first = F.coalesce(F.when(F.col("request_tokens") > max_request, "request exceeds its budget"), F.when(F.col("state_tokens") > max_state, "state exceeds its budget"), F.when(F.col("choice_count") != n_options, "choices are missing"))
+    return rows.select("paper_id", first.alias("violation")).where("violation IS NOT NULL")
+
+
+def encoding_violations(rows: DataFrame, n_options: int, max_request: int = fixed.REQUEST_TOKENS) -> DataFrame:
+    """(paper_id, violation) of encodings (paper_id, state_truncated, ids array, option_index array of arrays, one for each question): a state
+    that was cut, too many ids, or not one question with all the options."""
+    cut_or_long = F.coalesce("state_truncated", F.lit(False)) | F.coalesce(F.size("ids") > max_request, F.lit(True))
+    whole = (F.size("option_index") == 1) & (F.size(F.try_element_at("option_index", F.lit(1))) == n_options)
+    first = F.when(cut_or_long, "the context budget is exceeded").when(~F.coalesce(whole, F.lit(False)), "options were lost in encoding")
+    return rows.select("paper_id", first.alias("violation")).where("violation IS NOT NULL")
+
+
+def metric_differences(stored: DataFrame, computed: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """(metric, stored, computed) of the metrics (metric, value) that one side lacks or that differ by more than the tolerance."""
+    both = stored.select("metric", F.col("value").alias("stored")).join(computed.select("metric", F.col("value").alias("computed")), "metric", "full_outer")
+    return both.where(~F.coalesce(F.abs(F.col("stored") - F.col("computed")) <= tolerance, F.col("stored").isNull() & F.col("computed").isNull()))
+
+
+def catalog_status(catalog: DataFrame, directory: DataFrame, overrides: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """(journal_id, issns, verified, status, other_titles) of a catalog (journal_id, journal_name) against a directory (title, issns) by name key.
+
+    Reviewed ISSNs (journal_id, issns) win; of all titles with the name the valid ISSNs count, but several titles that
+    share none are `ambiguous` and give nothing. What `previous` (journal_id, issns, verified) holds as verified
+    is kept unless it is reviewed. other_titles are the titles found for a row that stays unverified. One bad row stops no other.
+    """
     c = catalog.select("journal_id", text.name_key("journal_name").alias("_key"))
-    found = c.join(directory.select(text.name_key("title").alias("_key"), F.filter("issns", lambda x: text.valid_issn(x)).alias("issns")), "_key")
+    found = c.join(directory.select(text.name_key("title").alias("_key"), "title", "issns"), "_key")
+    titles = found.groupBy("journal_id").agg(F.count("*").alias("_titles"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("issns")))).alias("_all"), F.array_sort(F.collect_set("title")).alias("_named"))
     common = joins.common_values(found, "journal_id", "issns")
     reviewed = overrides.select("journal_id", F.col("issns").alias("_reviewed"))
-    both = c.select("journal_id").join(common, "journal_id", "left").join(reviewed, "journal_id", "left")
-    issns = F.coalesce("_reviewed", "common", F.array().cast("array<string>"))
-    return both.select("journal_id", issns.alias("issns"), (F.size(issns) > 0).alias("verified"))
+    both = c.select("journal_id").join(titles, "journal_id", "left").join(common, "journal_id", "left").join(reviewed, "journal_id", "left")
+    if previous is not None:
+        both = both.join(previous.where("verified").select("journal_id", F.col("issns").alias("_kept")), "journal_id", "left")
+    else:
+        both = both.withColumn("_kept", F.lit(None).cast("array<string>"))
+    none = F.array().cast("array<string>")
+    ambiguous = (F.col("_titles") > 1) & (F.size("common") == 0)
+    valid = lambda c: F.filter(c, lambda x: text.valid_issn(x))
+    issns = F.when(F.col("_reviewed").isNotNull(), F.array_sort(F.array_distinct(valid(F.col("_reviewed"))))).when(F.col("_kept").isNotNull(), F.col("_kept")).when(~ambiguous, valid(F.col("_all")))
+    judged = both.withColumn("issns", F.coalesce(issns, none)).withColumn("verified", F.size("issns") > 0)
+    status = (
+        F.when(F.col("_reviewed").isNotNull(), F.when(F.col("verified"), "reviewed").otherwise("unresolved")).when(F.col("_kept").isNotNull(), "kept")
+        .when(ambiguous, "ambiguous").when(F.col("verified"), "verified").otherwise("unresolved")
+    )
+    return judged.select("journal_id", "issns", "verified", status.alias("status"), F.when(F.col("verified"), none).otherwise(F.coalesce("_named", none)).alias("other_titles"))
 
 
 def metrics_of(predictions: DataFrame) -> DataFrame:

@@ -101,3 +101,31 @@ def load_vectors(spark: SparkSession, path: str, expected: dict[str, str], dim:
         made = made & F.col(name).eqNullSafe(value)
     ok = F.coalesce(made & (F.size("embedding") == dim), F.lit(False))
     return v.where(F.assert_true(ok, F.concat(F.lit("vector of another make: "), F.col("paper_id"))).isNull()).select("paper_id", "embedding")
+
+
+def manifest_violations(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, violation) of the files found (name, bytes, sha256) against a manifest of the same columns: a name that leaves its
+    folder (absolute, or with a part ".."), a file that is missing, unexpected, or changed."""
+    m = manifest.select("name", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"), F.lit(True).alias("_listed"))
+    both = found.withColumn("_found", F.lit(True)).join(m, "name", "full_outer")
+    unsafe = F.col("name").isNull() | (F.col("name") == "") | F.col("name").startswith("/") | F.col("name").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | F.array_contains(F.split("name", r"[/\\\\]"), "..")
+    same = F.col("bytes").eqNullSafe(F.col("_bytes")) & F.col("sha256").eqNullSafe(F.col("_sha"))
+    first = F.when(unsafe, "unsafe name").when(F.col("_found").isNull(), "missing").when(F.col("_listed").isNull(), "unexpected").when(~same, "changed")
+    return both.select("name", first.alias("violation")).where("violation IS NOT NULL")
+
+
+def manifest_digest(manifest: DataFrame) -> DataFrame:
+    """One row, digest: the SHA-256 of a manifest's files (one row a file) by name, whatever the order of rows."""
+    files = F.array_sort(F.collect_list(F.struct("name", "bytes", "sha256")))
+    return manifest.agg(F.sha2(F.to_json(files), 256).alias("digest"))
+
+
+def copy_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a folder and all below it by the file systems of the two paths; an existing target is an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    of, to = a.getFileSystem(conf), b.getFileSystem(conf)
+    if to.exists(b):
+        raise FileExistsError(f"already exists: {target}")
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(of, a, to, b, False, False, conf):
+        raise OSError(f"not copied whole: {source}")

@@ -3,7 +3,7 @@ function asserts what it relies on, so nothing is silently left out."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions import text
@@ -38,14 +38,16 @@ def archive_titles(pages: DataFrame, base: str, first_volume_year: int = 1994) -
 
 
 def catalog_cards(pages: DataFrame, base: str, collection: str) -> DataFrame:
-    """(title, authors, year, kind, volume, pages, url) of the cards of catalog pages (year, body)."""
+    """(title, authors, year, kind, volume, pages, url) of the cards of catalog pages (year, body). A url that
+    appears twice is an error."""
     card = pages.select("year", F.explode(F.regexp_extract_all("body", F.lit(_CARD), F.lit(0))).alias("card"))
     part = lambda name: text.clean_text(F.regexp_extract("card", f'(?s)class="publication__{name}"[^>]*>(.*?)</(?:h3|div)>', 1))
     c = card.select("year", part("title").alias("title"), part("text").alias("authors"), part("more_info").alias("info"), part("collection").alias("collection"), F.regexp_extract("card", 'href="([^"]+)"', 1).alias("href"))
     group = lambda k: F.regexp_extract("info", _CARD_INFO, k)
     c = checked(c, (group(4) == F.col("year").cast("string")) & F.col("collection").contains(collection), "unexpected card", "info")
     url = F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("href", "^/", "")))
-    return c.select("title", "authors", "year", group(1).alias("kind"), group(2).alias("volume"), group(3).alias("pages"), F.replace(url, F.lit("&amp;"), F.lit("&")).alias("url"))
+    rows = c.select("title", "authors", "year", group(1).alias("kind"), group(2).alias("volume"), group(3).alias("pages"), F.replace(url, F.lit("&amp;"), F.lit("&")).alias("url"))
+    return checked(rows.withColumn("_n", F.count("*").over(Window.partitionBy("url"))), F.col("_n") == 1, "a card appears twice:", "url").drop("_n")
 
 
 def product_index(pages: DataFrame, base: str) -> DataFrame:
