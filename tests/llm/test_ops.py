@@ -441,6 +441,43 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] and not r["toxic"] for r in rows) <= 5
 
 
+def plain_features(text):
+    raw, out = f" {' '.join(text.lower().split())} ".encode(), set()
+    for at in range(len(raw)):
+        for order in toxicity.ORDERS:
+            if at + order <= len(raw):
+                h = 0
+                for byte in raw[at : at + order]:
+                    h = (h * 0x01000193) % 2**32 ^ byte
+                out.add((h * 0x9E3779B1 + order - 1) % 2**32 >> 32 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_agrees_with_plain_loops(spark):
+    bad, good = ["you awful liar", "awful, awful liar", "what a liar"], ["a kind note", "the note was kind", "you are kind"]
+    rows = spark.createDataFrame([(1, t) for t in bad] + [(0, t) for t in good], "label int, text string")
+    weights, bias = toxicity.fit(rows, least=1, steps=50)
+    has = [plain_features(t) for t in bad + good]
+    ratio = {f: np.log((sum(f in h for h in has[:3]) + 1) / 5) - np.log((sum(f in h for h in has[3:]) + 1) / 5) for f in set().union(*has)}
+    assert set(np.flatnonzero(weights)) <= {f for f, r in ratio.items() if r}
+    # the regression's own factor has the sign that its ratio is to have: what toxic texts hold weighs up
+    assert all(weights[f] * np.sign(r) >= 0 for f, r in ratio.items() if abs(r) > 1)
+    texts = bad + good + ["a new  liar\nand a kind note", "É liar", ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.with_score(docs, (weights, bias)).collect()}
+    for i, t in enumerate(texts):
+        z = bias + (sum(float(weights[f]) for f in plain_features(t)) if t else 0.0)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert min(got[i] for i in range(3)) > max(got[i] for i in range(3, 6))
+
+
+def test_columns_of_the_second_table_may_clash(spark, odd):
+    labels = spark.createDataFrame([(3, 1), (4, 0), (5, 1)], "doc_id long, toxic int").withColumns({c: F.lit("x") for c in ("text", "label", "_id", "score", "held_out", "lang")})
+    assert toxicity.score_toxicity(odd, labels).count() == len(ODD)
+    items = spark.createDataFrame([(1, "the cat sat on the mat and looked at the dog")], "item_id long, text string").withColumns({c: F.lit("x") for c in ("doc_id", "id", "words", "term", "segment", "n_words")})
+    assert sorted(r["doc_id"] for r in decontam.contamination(odd, items).where("contaminated").collect()) == [3, 3, 4]
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, 0), (3, 1, 1), (4, 1, 0), (5, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.score_toxicity(odd, labels).collect()
@@ -732,3 +769,10 @@ def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in sorted(ann.nearest(few, F.col("vec_id") % 50 == 0).collect())] == [(0, 1, 1), (0, 2, 2)]
     assert ann.nearest(few.limit(0), F.lit(True)).count() == 0
+
+
+def test_an_id_with_two_vectors_asks_with_the_least(spark):
+    rows = [(0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [0.0, 3.0]), (2, [3.0, 0.0]), (2, [0.0, 5.0])]
+    twice = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = [(r["rank"], r["vec_id"], round(r["score"], 6)) for r in sorted(ann.nearest(twice, F.col("vec_id") == 0, k=2).collect())]
+    assert found == [(1, 1, 1.0), (2, 2, 1.0)]

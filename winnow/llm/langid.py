@@ -9,7 +9,8 @@ distinct words of each, the most frequent. Every text is scored whole; a word's
 frequent word is summed over once in each worker.
 
 Null texts, and texts without a letter, are und with score 0, as is every text if no language was learned.
-Null languages are not learned from. Repeated rows are each returned. An empty table gives no rows.
+Null languages are not learned from. Languages that score alike go to the first by name. Texts of any length are scored
+whole. Repeated rows are each returned, with equal scores, and so are rows whose id is null. An empty table gives no rows.
 """
 
 from __future__ import annotations

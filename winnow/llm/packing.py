@@ -5,7 +5,10 @@ lengths (at most max_len rows, whatever the corpus) goes to the driver, where le
 first into the emptiest pattern that holds them, updating pattern counts. A pattern's slots own ranges of
 ranks within a length, so pieces find their sequence by (length, rank): no pair or group is ever gathered.
 
-Null or empty texts are one closing id. Repeated rows are packed each. An empty table gives no rows.
+Null or empty texts are one closing id. Texts of any length are encoded whole and cut into as many pieces as they need.
+Pieces of one length are interchangeable: which of them takes which place is settled by their rank, and ranks by the
+partition a row is in, so ties may fall otherwise in another run, with the same padding. Repeated rows, and rows whose
+id is null or repeats, are packed each. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ held-out fold, so the model does not depend on how rows are dealt; every row of
 Null and empty texts have no features and score the model's intercept. Labels that are null are not used;
 a document labelled twice counts as toxic if either label says so; of an id with several texts the least text
 is learned from. Without labels of both kinds every
-score is the share of toxic labels, or 0. Repeated rows are each returned.
+score is the share of toxic labels, or 0. Of features that pull equally the one with the lower number is kept first. Texts
+of any length are scored whole, a megabyte of n-grams at a time. Repeated rows are each returned, with equal scores, and
+so are rows whose id is null. An empty table gives no rows.
 """
 
 from __future__ import annotations
