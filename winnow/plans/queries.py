@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions import fixed, numeric, records, text
-from winnow.operators import counts, dedup, evaluation, joins, retrieval, rules, sampling
+from winnow.operators import counts, dedup, evaluation, joins, maxscore, retrieval, rules, sampling
 from winnow.shared import cut, shared_root
 from winnow.sources import files, web
 from winnow.streaming import limiter
@@ -366,23 +366,27 @@ _TFIDF = f"""tok AS (SELECT doc_id, {_TOKENS} AS term FROM documents), tf AS (SE
  s AS (SELECT q.doc_id AS query_id, d.doc_id AS id, sum(q.w * d.w) AS score FROM u q JOIN u d USING (term) WHERE q.doc_id % 100 = 0 AND d.doc_id <> q.doc_id GROUP BY 1, 2)"""
 
 
-def _lexical(spark, sf_dir):
+def _lexical(spark, sf_dir, group: str, k: int):
+    """The k best groups of documents for each query, by MaxScore."""
     p = papers(spark, sf_dir)
     words = retrieval.tokens(F.col("title"), F.col("abstract"))
     index = retrieval.TfIdf(p, "doc_id", words)
-    return index.scores(p.where("doc_id % 100 = 0"), "doc_id", words).where("id <> query_id")
+    shards = maxscore.shards(index.vectors, p.select(F.col("doc_id").alias("id"), F.col(group).alias("grp")))
+    asked = maxscore.asked(index.query_vectors(p.where("doc_id % 100 = 0"), "doc_id", words))
+    best, _ = maxscore.best_groups(shards, asked, k)
+    return best.withColumn("best", F.round("best", 6))
 
 
 @query(f"WITH {_TFIDF} SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS t FROM s) WHERE t <= 5")
 def lexical_neighbours(spark, sf_dir):
-    scored = _lexical(spark, sf_dir).withColumn("score", F.round("score", 6))
+    scored = _lexical(spark, sf_dir, "doc_id", 5).select("query_id", F.col("grp").alias("id"), F.col("best").alias("score"))
     return evaluation.ranked(scored, "query_id", "id", "score", 5).select("query_id", "id", "score")
 
 
 @query(f"""WITH {_TFIDF}, b AS (SELECT query_id, source AS grp, round(max(score), 6) AS best FROM s JOIN documents ON doc_id = id GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, grp) AS place FROM b) SELECT query_id, grp, best, CAST(place AS INT) AS place FROM r WHERE place <= 5""")
 def lexical_shortlists(spark, sf_dir):
-    scored = _lexical(spark, sf_dir).withColumn("score", F.round("score", 6)).join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("grp")), "id")
+    scored = _lexical(spark, sf_dir, "journal_id", 5).withColumnRenamed("best", "score")
     return retrieval.shortlist(scored, 5).select("query_id", "grp", "best", "place")
 
 

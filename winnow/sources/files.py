@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.sources.arrow import open_file
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A record a line; blank lines are skipped, a malformed line is an error."""
@@ -50,12 +55,33 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
     return e.select("e.id", "e.title", "e.summary", "e.doi", F.transform("e.category", lambda c: F.struct(c["_term"].alias("term"), c["_scheme"].alias("scheme"))).alias("categories"))
 
 
+#: Bytes of a file that a task holds while it hashes it.
+CHUNK = 4 << 20
+
+
+def stream_hash(path: str) -> str:
+    """The SHA-256 of a file of any size, read piece by piece."""
+    h, piece = hashlib.sha256(), bytearray(CHUNK)
+    with open_file(path) as f:
+        while n := f.readinto(piece):
+            h.update(memoryview(piece)[:n])
+    return h.hexdigest()
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files under the folder path, named by their path below it."""
+    """(name, bytes, sha256) of the files under the folder path, named by their path below it. The listing is Spark's, which deals files
+    to tasks by size and reads none of them; a task streams its files, so that one of any size takes CHUNK bytes."""
     bare = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
     root = re.sub(bare, "/", path if re.match(bare, path) else os.path.abspath(path)).rstrip("/") + "/"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.select(F.expr(f"substr(regexp_replace(path, r'{bare}', '/'), {len(root) + 1})").alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = pa.array([stream_hash(p) for p in b.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), hashes], ["path", "bytes", "sha256"])
+
+    rows = listed.mapInArrow(each, "path string, bytes long, sha256 string")
+    return rows.select(F.expr(f"substr(regexp_replace(path, r'{bare}', '/'), {len(root) + 1})").alias("name"), "bytes", "sha256")
 
 
 def differing_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
