@@ -359,6 +359,34 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert sum(found[i] for i in found if i >= 1000) == 0
 
 
+SHAPES = ["DB_KEY={}", "k=v/{}", "a_b/{}", "AWS_SECRET_ACCESS_KEY={}", "id-{}+z", "?sig={}%3D", "xoxb-123456789012-{}/a", "ghp_{}", "{}", "({}==)"]
+
+
+def test_keys_beside_separators_are_candidates():
+    rng = random.Random(21)
+    for shape in SHAPES:
+        for n in (24, 32, 43):
+            key = "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(n))
+            text = "see " + shape.format(key) + " there"
+            found = [text[s:e].rstrip("=") for s, e, *_ in secrets.candidates(text, secrets.base_spans(text))]
+            assert key in found, text
+
+
+def test_keys_beside_separators_are_masked(spark):
+    rng = random.Random(22)
+    keys = ["".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(40)) for _ in range(20 * len(SHAPES))]
+    rows = [(i, "see " + SHAPES[i % len(SHAPES)].format(k) + " there, thesewordsaretogetherhere and usr/local/lib/python3/site-packages") for i, k in enumerate(keys)]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for shape in range(len(SHAPES)):
+        own = [i for i in clean if i % len(SHAPES) == shape]
+        assert sum(keys[i] not in clean[i] for i in own) >= 16, SHAPES[shape]
+    assert all(t.startswith("see ") and t.endswith("thesewordsaretogetherhere and usr/local/lib/python3/site-packages") for t in clean.values())
+
+
+def test_overlapping_parts_are_one_span():
+    assert secrets.joined([(5, 9), (0, 3), (2, 6), (9, 12)]) == [(0, 9), (9, 12)]
+
+
 def test_redaction_keeps_every_row(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in enumerate(SECRET_TEXTS)], DOCS)
     rows = {r["doc_id"]: r for r in secrets.redact(df).collect()}
@@ -418,13 +446,30 @@ def test_one_random_run_is_found_and_one_name_is_not(spark):
     assert of[1] == [(4, 3, 44)] and of[2] == [] and len(of[3]) == 3
 
 
-def test_runs_that_touch_base_spans_are_left_to_them():
+def plain_parts(text):
+    """All parts of 20 characters or more of one alphabet that no further character of it adjoins, padding included."""
+    out = set()
+    for alphabet in secrets.ALPHABETS.values():
+        inside = [c in alphabet for c in text] + [False]
+        start = 0
+        for i, here in enumerate(inside):
+            if not here:
+                if i - start >= 20 and secrets.encoding_of(text[start:i]):
+                    end = i
+                    while text[end : end + 1] == "=":
+                        end += 1
+                    padded = 0 < end - i <= 2 and not (text[end : end + 1] and text[end] in secrets.ALPHABETS["base64"] + "_-")
+                    out.add((start, end if padded else i))
+                start = i + 1
+    return sorted(out)
+
+
+def test_parts_that_touch_base_spans_are_left_to_them():
     rng = random.Random(9)
     for _ in range(300):
-        text = "".join(rng.choice(["token=", "AKIA", "abc12Def", "0123456789abcdef0123456789", " ", "Zz9/", "-"]) for _ in range(30))
+        text = "".join(rng.choice(["token=", "AKIA", "abc12Def", "0123456789abcdef0123456789", " ", "Zz9/", "-", "=", "=="]) for _ in range(30))
         base = secrets.base_spans(text)
-        whole = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text) if m.end() - m.start() >= 20 and secrets.encoding_of(m.group())]
-        free = [(a, b) for a, b in whole if not any(s < b and a < e for s, _, e in base)]
+        free = [(a, b) for a, b in plain_parts(text) if not any(s < b and a < e for s, _, e in base)]
         assert [c[:2] for c in secrets.candidates(text, base)] == free
 
 

@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over other token-like runs.
 
-A run of 20 or more key characters is given the smallest encoding that holds it (hexadecimal, base32,
-base36, base62, base64, base64url; letters of one case are words and have none). Three tests ask whether
+A run of key characters may hold more than a key: its name, a path, signs between. So each of its maximal parts of 20 or
+more characters of one alphabet (hexadecimal, base32, base36, base62, base64, base64url; with padding) is a candidate, under
+the smallest encoding that holds it; letters of one case are words and no candidates. Three tests ask whether
 it was drawn at random from that alphabet: chi-squared uniformity, runs of character classes, and serial
 correlation; their p-values are combined by the Cauchy rule. How often an ordinary string of that encoding
 and length looks as random is known from simulation (`ordinary`: letters as frequent as in prose, small
 digits first, classes that last). That share is the p-value of the run as a secret, and Benjamini and
 Hochberg's rule over all runs of an encoding and length, in all documents, sets the least combined p-value
 from which they are taken for secrets: a run alone is judged like one of many, and short runs, on which the
-tests have little power, need more. Only the histogram of combined p-values reaches the driver.
+tests have little power, need more. All candidates are counted, parts of others too; those taken that overlap are one
+span. Only the histogram of combined p-values reaches the driver.
 
 Null texts count as empty, and stay null when texts are redacted. Texts of any length are scanned whole.
 Offsets are code points, end exclusive. Repeated rows are each returned. An empty table gives no rows.
@@ -154,16 +156,34 @@ def ordinary(encoding: str, length: int, rows: int = 4000) -> list[np.ndarray]:
     return families
 
 
+#: Of each alphabet, its maximal parts that are long enough.
+_PARTS = [re.compile(f"[{re.escape(alphabet)}]{{{_LEAST_RUN},}}") for alphabet in ALPHABETS.values()]
+_PADDING = re.compile(r"={1,2}(?![A-Za-z0-9+/_=-])")
+
+
+def parts_of(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """(start, end, encoding) of the parts of a run that may be keys by themselves, in order; padding belongs to a part."""
+    found = {}
+    for pattern in _PARTS:
+        for m in pattern.finditer(text, start, end):
+            if m.span() not in found and (enc := encoding_of(m.group())):
+                found[m.span()] = enc
+    return sorted((s, p.end() if (p := _PADDING.match(text, e)) else e, enc) for (s, e), enc in found.items())
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, stratum, p) of runs that no base span touches; the stratum is the encoding and the length's power of two."""
+    """(start, end, stratum, p) of parts of runs that no base span touches; the stratum is the encoding and the length's power of two."""
     if not _has_long_run(text):
         return []
     out, starts = [], [s for s, _, _ in taken]  # in order
     furthest = list(itertools.accumulate((e for _, _, e in taken), max))
     for m in _RUN.finditer(text):
-        before = bisect.bisect_left(starts, m.end())  # spans that start before the run's end
-        if m.end() - m.start() >= _LEAST_RUN and not (before and furthest[before - 1] > m.start()) and (enc := encoding_of(m.group())):
-            out.append((m.start(), m.end(), f"{enc}/{min(20, (m.end() - m.start()).bit_length())}", randomness(m.group(), enc)[3]))
+        if m.end() - m.start() < _LEAST_RUN:
+            continue
+        for start, end, enc in parts_of(text, m.start(), m.end()):
+            before = bisect.bisect_left(starts, end)  # spans that start before the part's end
+            if not (before and furthest[before - 1] > start):
+                out.append((start, end, f"{enc}/{min(20, (end - start).bit_length())}", randomness(text[start:end], enc)[3]))
     return out
 
 
@@ -222,11 +242,28 @@ def find_secrets(docs: DataFrame, rate: float = 0.1, id_col: str = "doc_id", tex
     return _decide(scanned, thresholds(scanned, rate))
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _decide(scanned: DataFrame, limits: dict[str, float]) -> DataFrame:
-    cases = " ".join(f"WHEN '{s}' THEN {t}D" for s, t in sorted(limits.items()))
-    limit = f"CASE r.stratum {cases} ELSE 2D END" if cases else "2D"
-    kept = F.expr(f"transform(filter(runs, r -> r.p >= {limit}), r -> struct(r.start AS start, {KINDS.index('random')} AS kind, r.end AS end))")
-    return scanned.select("doc_id", "base", F.array_sort(F.concat("base", kept)).alias("spans"))
+    kind, schema = KINDS.index("random"), scanned.schema["base"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [joined([(r["start"], r["end"]) for r in runs if r["p"] >= limits.get(r["stratum"], 2.0)]) if runs else [] for runs in b.column(2).to_pylist()]
+            found = [[{"start": s, "kind": kind, "end": e} for s, e in spans] for spans in kept]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, b.column(1).type)], ["doc_id", "base", "random"])
+
+    found = scanned.mapInArrow(each, f"doc_id {scanned.schema['doc_id'].dataType.simpleString()}, base {schema}, random {schema}")
+    return found.select("doc_id", "base", F.array_sort(F.concat("base", "random")).alias("spans"))
 
 
 def redact(docs: DataFrame, rate: float = 0.1, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
