@@ -228,23 +228,15 @@ def plain_admission(rows, minute, hour):
     return out
 
 
-def test_admission_in_a_batch_and_in_a_stream(spark, tmp_path):
+def test_admission_in_a_batch(spark):
     rng = random.Random(3)
     rows, t = [], 0.0
     for i in range(400):
         t += rng.choice([0, 0.5, 5, 60, 400])
         rows.append(("gate", rng.choice("abc"), t, i))
     want = plain_admission([(c, t) for _, c, t, _ in rows], (6, 12), (40, 300))
-    schema = "limiter string, client string, t double, event_id long"
-    df = spark.createDataFrame(rows, schema)
+    df = spark.createDataFrame(rows, "limiter string, client string, t double, event_id long")
     assert [r["allowed"] for r in limiter.admit(df).orderBy("event_id").collect()] == want
-    for k in range(4):
-        spark.createDataFrame(rows[100 * k : 100 * (k + 1)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(f"{tmp_path}/in")
-    q = limiter.admit_stream(stream).writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r["allowed"] for r in spark.table("admitted").orderBy("event_id").collect()] == want
 
 
 def test_files_and_saved_responses(spark, tmp_path):

@@ -32,7 +32,12 @@ def _series(fn):
 # --- markup ---------------------------------------------------------------------------------------
 
 #: A comment, declaration, element or what of one is left at the end of the text.
-_ANY_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.S | re.I)
+#: A quote opens a string only where an attribute's value begins; any other is a character like others. End tags have no values.
+_ANY_TAG = re.compile(
+    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</(?:[a-z][^>]*)?(?:>|\Z)|<\Z
+    |<[a-z](?>=[\t\n\f\r\x20]*(?>"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|(?!["'])[^\t\n\f\r\x20>]*)|[^>=])*+(?:>|\Z)""",
+    re.S | re.I | re.X,
+)
 _MATH_TAG = re.compile(fixed.MARKUP, re.I)
 _BREAK = re.compile(r"<(?:/?(?:[^\s/>]*:)?(?:p|title)|(?:[^\s/>]*:)?br)(?=[\s/>])", re.I)
 

@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,7 +74,11 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     to tasks by size and reads none of them; a task streams its files, so that one of any size takes CHUNK bytes."""
     bare = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
     root = re.sub(bare, "/", path if re.match(bare, path) else os.path.abspath(path)).rstrip("/") + "/"
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = found.select("path", "length")
+    # a scan leaves out empty files; the names are in its listing, which the driver holds for any scan
+    names = [(re.sub("^file:/+", "file:/", unquote(f)),) for f in found.inputFiles()]
+    empty = spark.createDataFrame(names, "path string").join(listed, "path", "left_anti")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,6 +86,7 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), hashes], ["path", "bytes", "sha256"])
 
     rows = listed.mapInArrow(each, "path string, bytes long, sha256 string")
+    rows = rows.unionByName(empty.select("path", F.lit(0).cast("long").alias("bytes"), F.lit(hashlib.sha256().hexdigest()).alias("sha256")))
     return rows.select(F.expr(f"substr(regexp_replace(path, r'{bare}', '/'), {len(root) + 1})").alias("name"), "bytes", "sha256")
 
 

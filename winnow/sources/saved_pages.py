@@ -4,24 +4,25 @@ A scan asks for a page, is told the cursor of the next one, and goes on until a
 tasks. What it asks is a store of saved pages (nothing waits for a host), a folder that `save_pages` wrote: scans are dealt to
 parts by the CRC-32 of their name, a partition of the source reads one part, and only pages that its loops reach are rows.
 
-Filters on `scan` (equal, in) are pushed down: parts that hold none of the scans are not opened, and other scans are not walked.
-
 Options: `path`; `first`, the cursor of a first page (`*`); `pageSize`, `cap` as in `paging.followed`; `whole`: whether a scan that
-did not give exactly as many items as its first page reported is an error.
+did not give exactly as many items as its first page reported is an error; `scans`, a JSON list of names: parts that hold none of
+them are not opened, and other scans are not walked. (Names are asked for by this option and not by pushed filters: Spark 4.1 keeps the
+filters of a frame's first query with its Python reader, and later queries on the frame got that query's rows.)
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from winnow.sources.arrow import located
 
@@ -76,24 +77,11 @@ class PagesReader(DataSourceReader):
         self.path, self.first = options["path"].rstrip("/"), options.get("first", "*")
         self.page_size, self.cap = number("pagesize"), number("cap")
         self.whole = options.get("whole", "false").lower() == "true"
-        self.scans: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Conditions on the scan's name are met here; the rest is left to Spark."""
-        for f in filters:
-            match f:
-                case EqualTo(("scan",), str(value)):
-                    wanted = {value}
-                case In(("scan",), values):
-                    wanted = set(values)
-                case _:
-                    yield f
-                    continue
-            self.scans = wanted if self.scans is None else self.scans & wanted
+        self.scans: set[str] | None = set(json.loads(options["scans"])) if options.get("scans") else None
 
     def partitions(self) -> list[Part]:
         store, root = located(self.path)
-        infos = store.get_file_info(fs.FileSelector(root, recursive=True))
+        infos = store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
         folders = sorted(i.path for i in infos if i.type == fs.FileType.Directory and re.search(r"/parts=\d+/part=\d+$", i.path))
         if not folders and not any(i.type == fs.FileType.File for i in infos):
             raise FileNotFoundError(f"no store of pages: {self.path}")
@@ -135,12 +123,11 @@ class SavedPages(DataSource):
         return PagesReader(dict(self.options))
 
 
-def read_scans(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """The pages that the scans of a store reach, with `stop`, as `paging.followed` gives them."""
+def read_scans(spark: SparkSession, path: str, scans: list[str] | None = None, **options: object) -> DataFrame:
+    """The pages that the scans of a store (or those named) reach, with `stop`, as `paging.followed` gives them."""
     spark.dataSource.register(SavedPages)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("saved_pages").option("path", path)
-    for k, v in options.items():
+    for k, v in (options | {"scans": None if scans is None else json.dumps(scans)}).items():
         if v is not None:
             reader = reader.option(k, str(v))
     return reader.load()
