@@ -101,6 +101,19 @@ def request_parity(a: DataFrame, b: DataFrame) -> DataFrame:
     return joins.differing_keys(a, b, "paper_id", ["request_hash", "target"])
 
 
+def changed_settings(before: DataFrame, now: DataFrame, ignored: Column | None = None) -> DataFrame:
+    """(name) of settings (name, value) that differ, or that one side lacks; names for which `ignored` holds don't matter. Scans, prepared
+    inputs and selections are used again only where there is none."""
+    changed = joins.differing_keys(before, now, "name", ["value"])
+    return changed if ignored is None else changed.where(~ignored)
+
+
+def order_differences(saved: DataFrame, found: DataFrame) -> DataFrame:
+    """(place, saved, found) of the places at which two ordered lists (place, candidate) differ, null where one has none."""
+    both = saved.select("place", F.col("candidate").alias("saved")).join(found.select("place", F.col("candidate").alias("found")), "place", "full_outer")
+    return both.where(~F.col("saved").eqNullSafe(F.col("found")))
+
+
 def completed_runs(runs: DataFrame, prepared_hash: str, mode: str) -> DataFrame:
     """Rows of the run log that count as done for these inputs."""
     return runs.where((F.col("status") == "complete") & F.col("checks_pass") & (F.col("prepared_hash") == prepared_hash) & (F.col("mode") == mode))

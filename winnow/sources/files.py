@@ -43,17 +43,17 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("issns", F.filter(F.split("issns", ";"), lambda x: x != ""))
 
 
-def read_atom(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of Atom feeds: id, title, summary, doi, categories. Feeds over a megabyte, with a document type,
+def read_atom(spark: SparkSession, path: str, with_path: bool = False) -> DataFrame:
+    """Entries of Atom feeds: id, title, summary, doi, categories, and the feed's path if wanted. Feeds over a megabyte, with a document type,
     an entity or a NUL, or not in UTF-8, are refused."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
     body = F.try_validate_utf8(F.col("content").cast("string"))
     marked = raw.select("path", body.alias("body"), ((F.col("length") > 1 << 20) | body.isNull() | F.coalesce(body.rlike("(?i)<!(?:DOCTYPE|ENTITY)|\\x00"), F.lit(True))).alias("bad"))
     checked = marked.where(F.assert_true(~F.col("bad"), F.concat(F.lit("refused feed "), F.col("path"))).isNull())
     entry = "struct<id:string,title:string,summary:string,doi:string,category:array<struct<_term:string,_scheme:string>>>"
-    parsed = checked.select(F.from_xml("body", f"entry array<{entry}>", {"ignoreNamespace": "true"}).alias("feed"))
-    e = parsed.select(F.explode("feed.entry").alias("e"))
-    return e.select("e.id", "e.title", "e.summary", "e.doi", F.transform("e.category", lambda c: F.struct(c["_term"].alias("term"), c["_scheme"].alias("scheme"))).alias("categories"))
+    parsed = checked.select("path", F.from_xml("body", f"entry array<{entry}>", {"ignoreNamespace": "true"}).alias("feed"))
+    e = parsed.select("path", F.explode("feed.entry").alias("e"))
+    return e.select(*["path"] * with_path, "e.id", "e.title", "e.summary", "e.doi", F.transform("e.category", lambda c: F.struct(c["_term"].alias("term"), c["_scheme"].alias("scheme"))).alias("categories"))
 
 
 #: Bytes of a file that a task holds while it hashes it.

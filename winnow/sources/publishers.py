@@ -102,6 +102,17 @@ def import_page(pages: DataFrame) -> DataFrame:
     return r.select("requested", "arxiv_id", "title", "abstract", "doi", F.array_distinct(found).alias("categories"))
 
 
+def entry_id(address: Column) -> Column:
+    """The paper's identifier at the end of a feed entry's address; null for anything else."""
+    return text.arxiv_id(F.regexp_replace(address, r"^http://", "https://"))
+
+
+def identity_error(ident: Column, requested: Column) -> Column:
+    """Why what a source gave is not what it was asked for, or null: no identifier, another paper, or not the version asked for."""
+    base = lambda c: F.regexp_replace(c, r"v\d+$", "")
+    return F.when(ident.isNull(), "no identifier").when(base(ident) != base(requested), "another paper").when(requested.rlike(r"v\d+$") & (ident != requested), "another version")
+
+
 def in_scope(categories: Column, aliases: list[str]) -> Column:
     """Whether a record has a mathematics category, by shape or alias."""
     return F.exists(categories, lambda c: c.rlike(r"^math\.[A-Z]{2}$") | c.isin(aliases))
