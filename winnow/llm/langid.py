@@ -3,10 +3,11 @@
 A text's letter runs, in lower case, are cut into pieces of a fixed public vocabulary in every possible way.
 Each language has a probability for each piece; a forward algorithm sums the probabilities of all
 segmentations of a word, and a text's score for a language is the sum of its words' logarithms and the
-language's. Piece probabilities are learned by expectation-maximisation over the words of a bounded
-sample: about `per_language` documents of each language outside the held-out fold, and at most `words`
-distinct words of each, the most frequent. Every text is scored whole; a word's scores are kept, so a
-frequent word is summed over once in each worker.
+language's. Piece probabilities are learned by expectation-maximisation over all words of a bounded
+sample: about `per_language` documents of each language outside the held-out fold. The words are a table; a round
+is a job over it, whose tasks add up the expected counts of their words, each for the languages that have it, and
+send the sums. What reaches the driver is a count for each piece and language, as the model itself is. Every text is
+scored whole; a word's scores are kept, so a frequent word is summed over once in each worker.
 
 Null texts, and texts without a letter, are und with score 0, as is every text if no language was learned.
 Null languages are not learned from. Languages that score alike go to the first by name. Texts of any length are scored
@@ -18,6 +19,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import math
 import re
 import uuid
 from collections import Counter
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import held_out, modest_batches, small_slices
+from winnow.llm.common import held_out, materialize, modest_batches, small_slices, tidy
 from winnow.llm.tokens import vocabulary
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -145,48 +147,107 @@ def word_scores(vocab: Pieces, words: list[bytes], p: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn(vocab: Pieces, counts: dict[str, Counter], rounds: int = 4, smooth: float = 0.02) -> tuple[list[str], np.ndarray]:
-    """(languages, piece probabilities with a last row of zeros) by expectation-maximisation over counted words."""
-    langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if len(w) <= _LONG})
-    weight = np.array([[counts[g][w] for g in langs] for w in words], dtype=np.float64).reshape(-1, len(langs))
+def _long_counts(vocab: Pieces, word: bytes, weight: float, p: np.ndarray, seen: np.ndarray) -> None:
+    """Add to seen the expected counts of a long word's pieces, by logarithms."""
+    n = len(word)
+    spans = [(i, j, number) for j in range(1, n + 1) for i in range(max(0, j - vocab.longest), j) if (number := vocab.number.get((word[i:j], j == n))) is not None]
+    logs = {number: math.log(p[number]) for _, _, number in spans}
+    ahead, behind = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    ahead[0] = behind[n] = 0.0
+
+    def total(terms: list[float]) -> float:
+        top = max(terms, default=-math.inf)
+        return top if top == -math.inf else top + math.log(sum(math.exp(t - top) for t in terms))
+
+    by_end: dict[int, list] = {}
+    by_start: dict[int, list] = {}
+    for i, j, number in spans:
+        by_end.setdefault(j, []).append((i, number))
+        by_start.setdefault(i, []).append((j, number))
+    for j in range(1, n + 1):
+        ahead[j] = total([ahead[i] + logs[number] for i, number in by_end.get(j, ())])
+    if ahead[n] == -math.inf:
+        return
+    for i in range(n - 1, -1, -1):
+        behind[i] = total([behind[j] + logs[number] for j, number in by_start.get(i, ())])
+    for i, j, number in spans:
+        seen[number] += weight * math.exp(ahead[i] + logs[number] + behind[j] - ahead[n])
+
+
+def expected_counts(vocab: Pieces, words: list[bytes], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in the segmentations of the words, under one language's probabilities (the last is that of no piece: 0)."""
+    seen = np.zeros(vocab.size + 1)
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
-    parts = []
     for length, rows in by.items():
+        if length > _LONG:
+            for i in rows:
+                _long_counts(vocab, words[i], float(weight[i]), p, seen)
+            continue
         for at in range(0, len(rows), 4096):
             some = rows[at : at + 4096]
             chars = np.frombuffer(b"".join(words[i] for i in some), dtype=np.uint8).reshape(-1, length).astype(np.uint64)
-            parts.append((length, weight[some], vocab.spans(chars)))
-    p = np.full((vocab.size + 1, len(langs)), 1 / vocab.size)
-    p[-1] = 0
-    for _ in range(rounds):
-        seen = np.zeros_like(p)
-        for length, w, found in parts:
-            alpha = _forward(found, len(w), length, p)
+            found = vocab.spans(chars)
+            alpha = _forward(found, len(some), length, p[:, None])[:, :, 0]
             beta = np.zeros_like(alpha)
-            beta[length] = w / np.maximum(alpha[length], 1e-300)
+            beta[length] = weight[some] / np.maximum(alpha[length], 1e-300)
             for i in range(length - 1, -1, -1):
                 for j in range(i + 1, length + 1):
                     if (ids := found.get((i, j))) is not None:
                         use = p[ids] * beta[j]
                         beta[i] += use
-                        use *= alpha[i]
-                        for g in range(len(langs)):
-                            seen[:, g] += np.bincount(ids, use[:, g], vocab.size + 1)
+                        seen += np.bincount(ids, use * alpha[i], vocab.size + 1)
+    seen[-1] = 0
+    return seen
+
+
+def learn(words: DataFrame, langs: list[str], file: str, rounds: int = 4, smooth: float = 0.02) -> np.ndarray:
+    """Piece probabilities, pieces x languages with a last row of zeros, by expectation-maximisation over words (lang, word, n)."""
+    size = pieces(file).size
+    p = np.full((size + 1, len(langs)), 1 / size)
+    p[-1] = 0
+    for _ in range(rounds):
+        given = words.sparkSession.sparkContext.broadcast(p)
+
+        def each(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            place, sums, vocab = {g: k for k, g in enumerate(langs)}, {}, pieces(file)
+            for b in batches:
+                own: dict[str, tuple[list, list]] = {}
+                for lang, word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    of = own.setdefault(lang, ([], []))
+                    of[0].append(word)
+                    of[1].append(n)
+                for lang, (some, n) in own.items():
+                    got = expected_counts(vocab, some, np.array(n, dtype=np.float64), np.ascontiguousarray(given.value[:, place[lang]]))
+                    sums[lang] = sums[lang] + got if lang in sums else got
+            met = {g: np.flatnonzero(x) for g, x in sums.items()}
+            cols = [list(sums), [met[g].astype("<i4").tobytes() for g in sums], [x[met[g]].tobytes() for g, x in sums.items()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "pieces", "counts"])
+
+        def add(key: tuple, t: pa.Table) -> pa.Table:
+            total = np.zeros(size + 1)
+            for ids, counts in zip(t.column("pieces"), t.column("counts"), strict=True):
+                total[np.frombuffer(ids.as_py(), dtype="<i4")] += np.frombuffer(counts.as_py())
+            return pa.table({"lang": [key[0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
+
+        parts = words.mapInArrow(tidy(each), "lang string, pieces binary, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary")
+        seen = np.zeros_like(p)
+        for r in parts.toLocalIterator():  # a row a language, of a count a piece
+            seen[:, langs.index(r["lang"])] = np.frombuffer(bytes(r["counts"]))
+        given.destroy()
         seen = seen[:-1] + smooth
         p[:-1] = seen / seen.sum(axis=0)
-    return langs, p
+    return p
 
 
-def sample_words(docs: DataFrame, per_language: int, words: int) -> tuple[dict[str, int], dict[str, Counter]]:
-    """(documents of each language, its sample's words and their counts)."""
+def sample_words(docs: DataFrame, per_language: int) -> tuple[dict[str, int], DataFrame | None]:
+    """(documents of each language, a table of the words of each language's sample: lang, word in UTF-8, n)."""
     spark = docs.sparkSession
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not sizes:
-        return {}, {}
+        return {}, None
     share = spark.createDataFrame([(g, min(1.0, per_language / n)) for g, n in sorted(sizes.items())], "lang string, share double")
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     some = rows.join(F.broadcast(share), "lang").where((lot < F.col("share")) & F.col("text").isNotNull()).select("lang", "text")
@@ -196,15 +257,12 @@ def sample_words(docs: DataFrame, per_language: int, words: int) -> tuple[dict[s
             seen: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w, n in Counter(letter_runs(text)).items():
-                    seen[lang, w] += n
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+                    seen[lang, w.encode("utf-8", "surrogatepass")] += n
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
-    total = some.mapInArrow(each, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, Counter] = {g: Counter() for g in sizes}
-    most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    for r in total.withColumn("nth", most).where(F.col("nth") <= words).toLocalIterator():  # `words` a language at most
-        counts[r["lang"]][r["word"].encode("utf-8", "surrogatepass")] = r["n"]
-    return sizes, counts
+    total = some.mapInArrow(tidy(each), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    tasks = min(32, int(spark.conf.get("spark.sql.shuffle.partitions")))  # the sample is bounded, and a round is a job
+    return sizes, materialize(total.repartition(tasks, "word"), "words")
 
 
 class _Known:
@@ -231,11 +289,12 @@ class _Known:
 _known: dict[str, _Known] = {}
 
 
-def predict_language(docs: DataFrame, file: str | None = None, per_language: int = 400, words: int = 60_000) -> DataFrame:
+def predict_language(docs: DataFrame, file: str | None = None, per_language: int = 400) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (the language's share of the posterior)."""
     file = file or vocabulary()
-    sizes, counts = sample_words(docs, per_language, words)
-    langs, p = learn(pieces(file), counts) if sizes else ([], np.zeros((1, 0)))
+    sizes, words = sample_words(docs, per_language)
+    langs = sorted(sizes)
+    p = learn(words, langs, file) if langs else np.zeros((1, 0))
     prior = np.log([sizes[g] / sum(sizes.values()) for g in langs]) if langs else np.zeros(0)
     given = docs.sparkSession.sparkContext.broadcast((langs, p, prior))  # languages x vocabulary
     name = uuid.uuid4().hex  # of this model, in the workers
