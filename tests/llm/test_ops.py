@@ -565,6 +565,45 @@ def test_forward_sums_every_segmentation():
         assert np.allclose(row, every(w)) and np.allclose(langid._long_word(vocab, w, p), every(w))
 
 
+def test_expected_counts_are_those_of_all_segmentations(monkeypatch):
+    vocab = langid.pieces(vocabulary())
+    p = np.random.default_rng(1).random(vocab.size + 1)
+    p[-1] = 0
+
+    def every(word, i=0):
+        if i == len(word):
+            yield ()
+        for j in range(i + 1, len(word) + 1):
+            if (n := vocab.number.get((word[i:j], j == len(word)))) is not None:
+                yield from ((n, *rest) for rest in every(word, j))
+
+    words, weight = [w.encode() for w in ("the", "there", "naïve", "thesis", "a")], np.array([3.0, 1, 2, 5, 7])
+    want = np.zeros(vocab.size + 1)
+    for w, n in zip(words, weight, strict=True):
+        ways = [(way, np.prod(p[list(way)])) for way in every(w)]
+        for way, x in ways:
+            np.add.at(want, list(way), n * x / sum(x for _, x in ways))
+    assert np.allclose(langid.expected_counts(vocab, words, weight, p), want)
+    monkeypatch.setattr(langid, "_LONG", 0)  # the way of long words
+    assert np.allclose(langid.expected_counts(vocab, words, weight, p), want)
+
+
+def test_languages_of_long_words_only_are_learned(spark):
+    rng = random.Random(14)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(70, 120)))
+    rows = [(i, " ".join(word("กขคงจฉชซ" if i % 2 else "абвгдежз") for _ in range(4)), "th" if i % 2 else "ru") for i in range(60)]
+    got = langid.predict_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: g for i, _, g in rows} and any(r["held_out"] for r in got)
+
+
+def test_fifty_languages(spark):
+    rng = random.Random(15)
+    own = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)] for k in range(50)}
+    rows = [(i, " ".join(rng.choices(own[g], k=40)), g) for i, g in enumerate(sorted(own) * 12)]
+    got = langid.predict_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert len(got) > 100 and sum(rows[r["doc_id"]][2] == r["lang_pred"] for r in got) > 0.9 * len(got)
+
+
 # --- WARC ---------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, "http://a/3", ""), (4, None, None), (5, "http://b/\r\nX: y", "<p>é</p>"), (None, "http://b/0", "same"), (6, "http://c", "x" * 3_000_000), (6, "http://c", "x" * 3_000_000)]
@@ -739,6 +778,23 @@ def test_classes_name_parts_but_not_containers():
     assert boilerplate.extract_group(pages, 8) == ["keep", "a\nb", "t", "u"]
 
 
+def main_text(page):
+    return boilerplate.extract_group([page], 8)[0]
+
+
+def test_stray_quotes_lose_no_text():
+    assert main_text("<article><p title=it's>Hello world one</p><p>More text here</p><p>It's fine</p></article>") == "Hello world one\nMore text here\nIt's fine"
+    assert main_text("<article><p><a href=/don't>a link</a> and text</p><p>it's \"quoted\"</p></article>") == "a link and text\nit's \"quoted\""
+    assert main_text("<article><p class=\"never closed>one</p><p>two</p></article>") == "one\ntwo"
+    assert main_text("<article><p title='a > b' x=\"c > d\">one</p\"><p =\"'>two</p></article>") == "one\ntwo"
+    assert main_text("<article><p title") == ""
+
+
+def test_class_words_do_not_empty_a_page():
+    assert main_text("<body><div class='ad-hoc'><p>The only text of the page is here.</p><nav>Menu</nav></div></body>") == "The only text of the page is here."
+    assert main_text("<body><div class='ad-hoc'><p>An advert here.</p></div><p>The page's own text.</p></body>") == "The page's own text."
+
+
 def test_repeats_agree_with_brute_force():
     rng = random.Random(6)
     for _ in range(30):

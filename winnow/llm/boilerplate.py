@@ -5,7 +5,8 @@ whose element or class names it (menus, headers, footers, sidebars, notices, adv
 in neither. A substring of `depth` words or more, or a whole block of fewer, on three or more distinct pages
 of a host, most of whose occurrences lie outside articles, is boilerplate, and every word it covers is
 removed, but not from an article's prose: what an article quotes, or a sentence that others advertise, is its
-own. A block that is mostly covered, and keeps less than a run of its own, goes whole. Blocks of an article
+own. A block that is mostly covered, and keeps less than a run of its own, goes whole. Parts that only a class, id
+or role names are left out, unless the page has no other text: then repeats decide on them. Blocks of an article
 that are mostly links count as outside it. What remains of the article's blocks is the text. If the page has
 no article, repeats decide on all its unnamed blocks, and neighbours that are mostly links are a menu.
 
@@ -43,11 +44,17 @@ from pyspark.sql import functions as F
 
 from winnow.llm.common import materialize, modest_batches, small_slices, text_of, tidy
 
-ARTICLE, NAMED, OTHER = 0, 1, 2
+#: HINTED is in a part that only a class, id or role names, which may be wrong.
+ARTICLE, NAMED, OTHER, HINTED = 0, 1, 2, 3
 #: On so many distinct pages of a host a run is repeated.
 PAGES = 3
 FILTER_BITS = 22
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote opens a string only where an attribute's value begins, and if it is closed again; any other is a character like others.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
+    |<(/?)([a-zA-Z][^\s/>]*)((?>=[\t\n\f\r\x20]*(?>"[^"]*"|'[^']*'|(?!["'])[^\t\n\f\r\x20>]*)|[^>])*+)(?:>|\Z)""",
+    re.S | re.X,
+)
 _ATTR = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -68,18 +75,21 @@ _ABOUT = {"with", "without", "has", "no"}
 _MINOR = {"ad", "ads", "advert", "comment", "comments", "reply", "promo", "related", "recommended", "sponsored"}
 
 
-def _named_part(tag: str, attrs: str, in_article: bool) -> bool:
+def _named_part(tag: str, attrs: str, in_article: bool) -> int | None:
+    """The zone of a part that its element or its classes name; None if they don't."""
+    if tag in _DROP and not (tag == "header" and in_article):
+        return NAMED
     if tag in _DROP:
-        return not (tag == "header" and in_article)
+        return None
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return NAMED
         words = set(_NAME.findall(_CAMEL.sub(" ", value).lower()))
         parts = _MINOR if tag in ("article", "main") else _PARTS if in_article else _PARTS | _HEADER
         if words & parts and not words & _ABOUT:
-            return True
-    return False
+            return HINTED
+    return None
 
 
 def blocks_of(page: str) -> list[tuple[int, list[str], bool]]:
@@ -143,13 +153,14 @@ def blocks_of(page: str) -> list[tuple[int, list[str], bool]]:
         if tag in _VOID:
             continue
         inside = any(z == ARTICLE for _, z in stack)
-        if zone == NAMED:
+        named = _named_part(tag, m[3] or "", inside) if zone != NAMED and tag not in ("html", "body") else None
+        if zone == NAMED or zone == HINTED and named != NAMED:
             if any(t == tag for t, _ in stack) or tag in ("article", "main"):
-                stack.append((tag, NAMED))  # a child of that name closes first
-        elif tag not in ("html", "body") and _named_part(tag, m[3] or "", inside):
+                stack.append((tag, zone))  # a child of that name closes first
+        elif named is not None:
             close()
-            stack.append((tag, NAMED))
-            zone = NAMED
+            stack.append((tag, named))
+            zone = named
         elif tag in ("article", "main") or any(t == tag for t, _ in stack):
             new = ARTICLE if tag in ("article", "main") else zone
             close()
@@ -211,7 +222,9 @@ def uncovered(words: list[str], covered: np.ndarray, depth: int) -> list[str]:
 
 
 def _wanted(blocks: list[tuple[int, list[str], bool]]) -> int:
-    return ARTICLE if any(z == ARTICLE for z, _, _ in blocks) else OTHER
+    """The zone of the page's text: parts that only classes name hold it where nothing else does."""
+    zones = {z for z, _, _ in blocks}
+    return ARTICLE if ARTICLE in zones else OTHER if OTHER in zones or HINTED not in zones else HINTED
 
 
 def _open(zone: int, linked: bool, wanted: int) -> bool:
