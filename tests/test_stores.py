@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnow.functions import text
-from winnow.operators import dedup, maxscore, merging, progressive, sampling, similar
+from winnow.operators import dedup, maxscore, merging, progressive, retrieval, sampling, similar
 from winnow.sources import commit, files, paging, saved_pages, vectors
 from winnow.streaming import limiter
 
@@ -215,7 +215,8 @@ def test_best_groups_are_those_of_all_pairs(spark, postings):
     refs, asked = unit_vectors(rng, 300, 400, 0), unit_vectors(rng, 12, 400, 1000)
     groups = {i: f"g{i % 17}" if i % 10 else "a large one" for i in range(300)}
     v = "id long, term string, w double"
-    index = maxscore.shards(spark.createDataFrame(refs, v), spark.createDataFrame(list(groups.items()), "id long, grp string"), postings=postings)
+    listed = spark.createDataFrame(refs, v).groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
+    index = maxscore.shards(listed.join(spark.createDataFrame(list(groups.items()), "id long, grp string"), "id"), postings=postings)
     assert (index.count() > 1) == (postings == 300)
     queries = maxscore.asked(spark.createDataFrame(asked, v), F.array((F.col("id") - 1000).cast("long"), F.lit(299).cast("long")))
     best, read = maxscore.best_groups(index, queries, 5, ask=100)
@@ -248,16 +249,32 @@ def test_best_groups_are_those_of_all_pairs(spark, postings):
 
 
 def test_few_or_no_references(spark):
-    v, g = "id long, term string, w double", "id long, grp string"
-    refs = spark.createDataFrame([(1, "a", 1.0), (2, "b", 0.6), (2, "c", 0.8)], v)
-    index = maxscore.shards(refs, spark.createDataFrame([(1, "x"), (2, None)], g))
+    refs = spark.createDataFrame([(1, "x", ["a"], [1.0]), (2, None, ["b", "c"], [0.6, 0.8]), (3, "y", [], [])], "id long, grp string, terms array<string>, weights array<double>")
+    index = maxscore.shards(refs)
     queries = spark.createDataFrame([(1, ["a", "c", "z"], [0.5, 0.5, 0.5], [1]), (7, ["z"], [1.0], None)], "query_id long, terms array<string>, weights array<double>, excluded array<long>")
     best, read = maxscore.best_groups(index, queries, 3)
     assert [tuple(r) for r in best.collect()] == [(1, None, 0.4)] and read.count() == 2
-    none = maxscore.shards(refs.limit(0), spark.createDataFrame([], g))
+    none = maxscore.shards(refs.limit(0))
     assert maxscore.best_groups(none, queries, 3)[0].count() == 0 and maxscore.best_groups(index, queries.limit(0), 3)[0].count() == 0
 
 
+@pytest.mark.parametrize("postings", [60, 1 << 20])
+def test_shards_of_counted_texts_score_as_all_pairs(spark, postings):
+    rng = random.Random(12)
+    words = ["Straße", "of", "the", "naïve", "x1", "THE", "curve", "b_c"] + [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30))), f"g{i % 4}") for i in range(80)] + [(99, None, "g0")]
+    df = spark.createDataFrame(texts, "id long, text string, grp string")
+    index = retrieval.TfIdf(df, "id", F.col("text"))
+    want = {}
+    for r in index.scores(df.where("id % 9 = 0"), "id", F.col("text")).where("query_id <> id").collect():
+        want.setdefault((r["query_id"], texts[r["id"]][2] if r["id"] != 99 else "g0"), []).append(r["score"])
+    shards = maxscore.tfidf_shards(index, df.select("id", "grp"), postings=postings)
+    assert (shards.count() > 1) == (postings == 60)
+    best, _ = maxscore.best_groups(shards, maxscore.asked(index.query_vectors(df.where("id % 9 = 0"), "id", F.col("text"))), 4)
+    got = {(r["query_id"], r["grp"]): r["best"] for r in best.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - max(v)) < 1e-9 for k, v in want.items())
+
+
 # --- quotas from the front ----------------------------------------------------------------------
 
 

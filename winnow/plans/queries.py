@@ -378,10 +378,10 @@ _TFIDF = f"""tok AS (SELECT doc_id, {_TOKENS} AS term FROM documents), tf AS (SE
 def _lexical(spark, sf_dir, group: str, k: int):
     """The k best groups of documents for each query, by MaxScore."""
     p = papers(spark, sf_dir)
-    words = retrieval.tokens(F.col("title"), F.col("abstract"))
-    index = retrieval.TfIdf(p, "doc_id", words)
-    shards = maxscore.shards(index.vectors, p.select(F.col("doc_id").alias("id"), F.col(group).alias("grp")))
-    asked = maxscore.asked(index.query_vectors(p.where("doc_id % 100 = 0"), "doc_id", words))
+    whole = retrieval.title_and_abstract(F.col("title"), F.col("abstract"))
+    index = retrieval.TfIdf(p, "doc_id", whole)
+    shards = maxscore.tfidf_shards(index, p.select(F.col("doc_id").alias("id"), F.col(group).alias("grp")))
+    asked = maxscore.asked(index.query_vectors(p.where("doc_id % 100 = 0"), "doc_id", whole))
     best, _ = maxscore.best_groups(shards, asked, k)
     return best.withColumn("best", F.round("best", 6))
 
