@@ -1,10 +1,13 @@
 """Files, stores and incremental work against plain versions: what they return, what they read, and what an ended run leaves."""
 
+import http.server
 import json
 import math
 import random
 import subprocess
 import sys
+import threading
+import time
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 from pathlib import Path
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions import text
 from winnow.operators import dedup, maxscore, merging, progressive, retrieval, sampling, similar
-from winnow.sources import commit, files, paging, saved_pages, vectors
+from winnow.sources import commit, files, paging, saved_pages, vectors, web
 from winnow.streaming import limiter
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -196,6 +199,66 @@ def test_a_scan_that_is_not_whole_is_an_error(spark, tmp_path):
         saved_pages.read_scans(spark, f"{tmp_path}/none").collect()
 
 
+def test_second_tries_and_pauses():
+    waits = []
+
+    def of(*answers):
+        given = iter(answers)
+
+        def fetch(url, attempt):
+            a = next(given)
+            if isinstance(a, Exception):
+                raise a
+            return a
+
+        return fetch
+
+    ok = (200, {}, "body")
+    assert web.ask("u", of((503, {}, ""), OSError(), ok), 5, waits.append) == (200, "body", 3) and waits == [1.0, 2.0]
+    assert web.ask("u", of((404, {}, "x")), 5, waits.append) == (404, None, 1)
+    waits.clear()
+    assert web.ask("u", of((429, {}, ""), (502, {"retry-AFTER": "17"}, ""), ok), 5, waits.append) == (200, "body", 3) and waits == [60.0, 17.0]
+    waits.clear()
+    assert web.ask("u", of(*[TimeoutError()] * 9), 9, waits.append) == (None, None, 9) and waits == [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 60.0, 60.0]
+
+
+def test_responses_are_fetched_once_and_saved(spark, tmp_path):
+    asked = []
+
+    def at(url, attempt):  # goes to the tasks by value
+        import urllib.request
+
+        with urllib.request.urlopen(url, timeout=10) as r:
+            return r.status, dict(r.headers), r.read().decode()
+
+    class Host(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((time.monotonic(), self.path))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(f"page {self.path}".encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Host)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    df = spark.createDataFrame([(f"{base}/{i % 4}",) for i in range(9)] + [(None,)], "url string")
+    lost = web.save_responses(web.fetch_missing(df, None, at, gap=0.2), f"{tmp_path}/cache")
+    assert lost.count() == 0 and sorted(p for _, p in asked) == ["/0", "/1", "/2", "/3"]
+    times = sorted(t for t, _ in asked)
+    assert min(b - a for a, b in zip(times, times[1:], strict=False)) > 0.15  # one host is asked at intervals
+    cache = spark.read.parquet(f"{tmp_path}/cache")
+    assert {r["body"] for r in web.fetch_saved(df.where("url IS NOT NULL"), cache).collect()} == {f"page /{i}" for i in range(4)}
+    again = df.unionByName(spark.createDataFrame([(f"{base}/9",)], "url string"))
+    web.save_responses(web.fetch_missing(again, cache, at, gap=0.0), f"{tmp_path}/cache")
+    assert len(asked) == 5 and spark.read.parquet(f"{tmp_path}/cache").count() == 5
+    server.shutdown()
+    gone = web.fetch_missing(spark.createDataFrame([("http://127.0.0.1:9/x",)], "url string"), None, at, attempts=2, gap=0.0, sleep=float)
+    assert [(r["status"], r["body"], r["attempts"]) for r in gone.collect()] == [(None, None, 2)]
+
+
 # --- the best groups ----------------------------------------------------------------------------
 
 

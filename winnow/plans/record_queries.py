@@ -12,7 +12,7 @@ from winnow.plans import experiment
 from winnow.plans.check_queries import _PAGES, _pages
 from winnow.plans.queries import load, query
 from winnow.shared import shared_root
-from winnow.sources import files, publishers, saved_pages
+from winnow.sources import files, publishers, saved_pages, web
 
 
 def _new(spark, name: str) -> str:
@@ -47,6 +47,40 @@ def imported_feeds(spark, sf_dir):
     return found.select("k", "arxiv_id", "title", "term", publishers.identity_error(F.col("arxiv_id"), F.col("requested")).alias("error"))
 
 
+def _answers(url: str, attempt: int):
+    """A source of customers: some of its answers fail at first, some always, some are refusals; its second host has what the first lacks."""
+    host, _, number = url.removeprefix("https://").partition("/")
+    n = int(number)
+    if host == "second":
+        return 200, {}, f"other {n}"
+    if n % 7 == 1 and attempt < n % 3 + 1:
+        return 503, {"Retry-After": "x"}, ""
+    if n % 7 == 2:
+        raise TimeoutError
+    return (404, {}, "gone") if n % 7 == 3 else (200, {}, f"customer {n}")
+
+
+@query("""SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 2 THEN NULL WHEN 3 THEN 404 ELSE 200 END AS status, CASE WHEN c_custkey % 7 NOT IN (2, 3) THEN 'customer ' || c_custkey END AS body,
+ CASE c_custkey % 7 WHEN 1 THEN 2 + c_custkey % 3 WHEN 2 THEN 5 ELSE 1 END AS attempts FROM customer WHERE c_custkey % 5 <> 0""")
+def fetched_responses(spark, sf_dir):
+    """Addresses of customers, of which every fifth is saved already."""
+    c = load(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://host"), F.col("c_nationkey"), F.lit("/"), F.col("c_custkey")).alias("url"))
+    saved = c.where("c_custkey % 5 = 0").select(web.cache_key(F.col("url")).alias("key"))
+    found = web.fetch_missing(c, saved, _answers, gap=0.0, sleep=_no_wait)
+    return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("k"), "status", "body", "attempts")
+
+
+@query("""SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 3 THEN 404 ELSE 200 END AS status, CASE c_custkey % 7 WHEN 2 THEN 'other ' || c_custkey WHEN 3 THEN NULL ELSE 'customer ' || c_custkey END AS body,
+ CASE c_custkey % 7 WHEN 2 THEN 'fallback' ELSE 'primary' END AS source FROM customer""")
+def fallback_responses(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("https://first/"), F.col("c_custkey")).alias("url"), F.concat(F.lit("https://second/"), F.col("c_custkey")).alias("fallback"))
+    return web.fetch_either(c, _answers, gap=0.0, sleep=_no_wait).select("k", "status", "body", "source")
+
+
+def _no_wait(seconds: float) -> None:
+    """The source of these queries is a function, which needs no pauses."""
+
+
 # --- pages ----------------------------------------------------------------------------------------
 
 
