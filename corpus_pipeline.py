@@ -30,7 +30,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs without those whose `_row` is in the column doc_id of rows."""
-    listed = materialize(rows.select(F.col("doc_id").alias("_row")).distinct(), "rows")
+    listed = materialize(rows.select(F.col("doc_id").alias("_row")).distinct(), "rows", slim=True)
     return docs.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, "_row", "left_anti")
 
 
@@ -43,7 +43,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = keyed(docs)
     found = materialize(simhash.near_texts(rows, similarity=0.8, shingle=5, id_col="_row"), "components")
     kept = without(rows, found.where("doc_id <> component_id"))
-    repeated = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    repeated = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated", slim=True)
     if not repeated.isEmpty():
         once = kept.join(repeated.withColumnRenamed("doc_id", "_row"), "_row", "left_semi").dropDuplicates(["_row"])
         kept = without(kept, repeated).unionByName(once)

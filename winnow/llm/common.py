@@ -17,9 +17,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: its lineage ends there."""
+def materialize(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: its lineage ends there. A slim table, of a few bytes a
+    row and much fewer rows than those that it comes from, is an eighth of the files."""
     path = shared_path(df.sparkSession, name)
+    if slim:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -140,7 +140,7 @@ def links(distinct: DataFrame, radius: int = 2, words: int | None = None, block:
     counts = [F.bit_count(F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1) if width < 64 else F.lit(-1))) for k in range(words)]
     tiles = distinct.select("fp", F.array(*counts).alias("tile"))
     # blocks of a tile: so many parts that one holds about `block` fingerprints, dealt by a hash of them
-    sizes = materialize(tiles.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "sizes")
+    sizes = materialize(tiles.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "sizes", slim=True)
     dealt = tiles.join(sizes, "tile").select("tile", "fp", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
     blocks = materialize(dealt.groupBy("tile", "part").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "tiles")
     # the pairs of blocks are listed first, so that a tile of many blocks is many keys of the joins
@@ -263,7 +263,7 @@ def _sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Data
 
 def _dealt(rows: DataFrame, tile: str, weight, limit: int) -> tuple[DataFrame, DataFrame]:
     """(tile, parts) of the tiles with two rows or more, and their rows with part and parts: a part has some `limit` of the weight."""
-    sizes = materialize(rows.groupBy(tile).agg(F.count("*").alias("n"), F.ceil(F.sum(weight) / limit).cast("int").alias("parts")).where("n > 1").select(tile, "parts"), "sizes")
+    sizes = materialize(rows.groupBy(tile).agg(F.count("*").alias("n"), F.ceil(F.sum(weight) / limit).cast("int").alias("parts")).where("n > 1").select(tile, "parts"), "sizes", slim=True)
     return sizes, rows.join(sizes, tile).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
 
@@ -327,9 +327,11 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def exact_links(members: DataFrame, sets: DataFrame, radius: int, similarity: float, block_bytes: int = 1 << 20) -> DataFrame:
-    """(a, b): spanning links, by shingle sets (node, hashes), between the members (component, node, size, f0, f1) of each component."""
-    sizes, dealt = _dealt(members, "component", 64 + 8 * F.col("size"), block_bytes)  # the sets join what is dealt already
+def exact_links(members: DataFrame, sets: DataFrame, radius: int, similarity: float, block_bytes: int = 1 << 20, block_rows: int = 1024) -> DataFrame:
+    """(a, b): spanning links, by shingle sets (node, hashes), between the members (component, node, size, f0, f1) of each component.
+    A block has some `block_rows` members or `block_bytes`, so that a component of many near texts is many pairs of blocks."""
+    weight = F.greatest(64 + 8 * F.col("size"), F.lit(block_bytes // block_rows))
+    sizes, dealt = _dealt(members, "component", weight, block_bytes)  # the sets join what is dealt already
     pairs = _block_pairs(sizes, dealt.join(sets, "node"), "component", ["node", "f0", "f1", "hashes"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +379,7 @@ def near_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
 
     # texts are read again only for what is near: one row of each node, named by its owner. The filter is by a hash, so
     # that a list of up to BROADCAST is 8 bytes a row; what it lets through in error has a node that is no member.
-    wanted = materialize(members.select(F.xxhash64("owner").alias("h")).distinct(), "wanted")
+    wanted = materialize(members.select(F.xxhash64("owner").alias("h")).distinct(), "wanted", slim=True)
     rows = docs.select(F.xxhash64(id_col).alias("h"), text_of(text_col).alias("text"))
     texts = modest_batches(rows).join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "h", "left_semi")
     sets = texts.select("h", "text").mapInArrow(tidy(each), "node binary, hashes binary").dropDuplicates(["node"])
