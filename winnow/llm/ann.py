@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import materialize, modest_batches
+from winnow.llm.common import materialize, modest_batches, shared_path
 
 _ROUNDS = 12
 
@@ -198,9 +198,11 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.96, s
 
         return meet
 
-    count, found = asked.count(), None
-    deals = max(1, -(-count * dim // ask))
-    for deal in range(deals):
+    schema = "query_id long, vec_id long, score double"
+    path = shared_path(spark, "met")
+    spark.createDataFrame([], schema).write.parquet(path)
+    deals = max(1, -(-asked.count() * dim // ask))
+    for deal in range(deals):  # a deal's results are written before the next is sent
         own = asked.where(F.pmod(F.xxhash64("id"), F.lit(deals)) == deal)
         some = own.orderBy("id").toArrow()  # about `ask` components
         if not some.num_rows:
@@ -208,10 +210,11 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, recall: float = 0.96, s
         q = _matrix(some.column("v").combine_chunks())
         block_of = spark.sparkContext.broadcast((some.column("id").to_numpy(), q, _unit(q)))
         asks = own.repartition(max(1, min(1000, some.num_rows // 64))).mapInArrow(visit, "id long, leaf int").groupBy("leaf").agg(F.sort_array(F.collect_list("id")).alias("asks"))
-        met = blocks.join(asks, "leaf").select("rows", "asks").mapInArrow(meeting(block_of), "query_id long, vec_id long, score double")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        met = blocks.join(asks, "leaf").select("rows", "asks").mapInArrow(meeting(block_of), schema)
+        first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        met.withColumn("rank", first).where(F.col("rank") <= k).drop("rank").write.mode("append").parquet(path)
+        block_of.destroy()
+    found = spark.read.schema(schema).parquet(path)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
