@@ -359,7 +359,8 @@ def read_archives(files: DataFrame, keep_payload: bool = True, strict: bool = Fa
     many records a file has, and another number is an error."""
     names = [x.split()[0] for x in _READ.split(", ")] + ["payload"] * keep_payload
     types = [pa.int64() if x.endswith("long") else pa.string() for x in _READ.split(", ")] + [pa.binary()] * keep_payload
-    page_of = lambda v: int(v.strip("<>")[len(_PAGE) :]) if v and v.strip("<>").startswith(_PAGE) else None
+    named = re.compile(re.escape(_PAGE) + r"(-?[0-9]{1,18})")
+    page_of = lambda v: int(m[1]) if v and (m := named.fullmatch(v.strip("<>"))) else None  # noqa: E731  other writers name records otherwise
 
     def rows_of(name: str, file) -> Iterator[tuple]:
         for x in salvage(file):
