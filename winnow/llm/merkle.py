@@ -24,12 +24,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from winnow.llm.common import materialize, tidy
+from winnow.operators.order import positions
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -133,31 +133,6 @@ def traverse(leaves: list[str], height: int, subtree: int = 4) -> Iterator[str]:
 # --- the tree over the table ------------------------------------------------------------------------
 
 
-def positions(nodes: DataFrame, order: list[str]) -> DataFrame:
-    """nodes (a table, with grp) and pos, a node's place in its group by `order`, and n, the group's nodes.
-
-    Rows that are equal in `order` are dealt by their place in the table, so that many of them are many tasks."""
-    spread = nodes.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("grp", *order, "tie").sortWithinPartitions("grp", *order, "tie")
-    at = spread.columns.index("grp")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, n = TaskContext.get().partitionId(), None, -1
-        for b in batches:
-            nth = []
-            for g in b.column(at).to_pylist():
-                n = n + 1 if g == last else 0
-                last = g
-                nth.append(n)
-            yield b.append_column("part", pa.array([part] * len(nth), pa.int32())).append_column("nth", pa.array(nth, pa.int64()))
-
-    schema = StructType([*spread.schema.fields, StructField("part", IntegerType()), StructField("nth", LongType())])
-    dealt = materialize(spread.mapInArrow(number, schema), "positions")
-    counts = dealt.groupBy("grp", "part").agg((F.max("nth") + 1).alias("count"))  # a row for each group in each partition
-    whole = Window.partitionBy("grp")
-    starts = counts.select("grp", "part", (F.sum("count").over(whole.orderBy("part")) - F.col("count")).alias("start"), F.sum("count").over(whole).alias("n"))
-    return dealt.join(starts, ["grp", "part"]).select(*nodes.columns, (F.col("start") + F.col("nth")).alias("pos"), "n")
-
-
 def _roots(blocks: DataFrame, bits: int) -> DataFrame:
     """(grp, block, n, hash): the root of each block."""
 
@@ -214,11 +189,11 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "la
     name = F.col(group).cast("string")
     own = F.struct(F.col(order).alias("id"), *[c.alias(k) for k, c in carry.items()])
     leaves = docs.select(F.when(name.isNull(), "").otherwise(F.concat(F.lit("="), name)).alias("grp"), F.col(order).alias("id"), leaf_of(*map(F.col, fields)).alias("hash"), own.alias("own"))
-    blocks, tops = _tree(positions(materialize(leaves, "leaves"), ["id", "hash"]).drop("id"), bits, subtree)
+    blocks, tops = _tree(positions(materialize(leaves, "leaves"), "grp", ["id", "hash"]).drop("id"), bits, subtree)
     # the groups' subroots are the leaves of one more tree, ordered by name
     tops = materialize(tops, "subroots")
     heads = tops.select(F.lit("").alias("grp"), F.col("grp").alias("id"), F.col("subroot").alias("hash"), F.struct(F.col("grp").alias("id")).alias("own"))
-    lasts, last = _tree(positions(heads, ["id"]).drop("id"), bits, subtree)
+    lasts, last = _tree(positions(heads, "grp", ["id"]).drop("id"), bits, subtree)
     root = (last.first() or {"subroot": None})["subroot"]
     ways = _emit(lasts, bits, subtree).select(F.col("own.id").alias("grp"), F.col("hash").alias("subroot"), F.col("path").alias("last"))
     joined = blocks.select("grp", "block", "above").join(ways, "grp")  # a row a block: the rows of a large group are few here
