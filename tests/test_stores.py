@@ -30,10 +30,10 @@ def test_a_large_file_is_hashed_in_little_memory(tmp_path):
     big = tmp_path / "big"
     with big.open("wb") as f:
         f.truncate(3 << 30)
-    code = f"import resource; from winnow.sources.files import stream_hash; print(stream_hash({str(big)!r}), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    code = f"import resource; from winnow.sources.files import stream_hash; top = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; a = top(); print(stream_hash({str(big)!r}), top() - a)"
     got = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
     want = subprocess.run(["sha256sum", str(big)], capture_output=True, text=True, check=True).stdout.split()[0]
-    assert got[0] == want and int(got[1]) < 200 << 10
+    assert got[0] == want and int(got[1]) < 64 << 10  # what it takes beside the libraries
 
 
 def test_hashes_of_a_folder(spark, tmp_path):
