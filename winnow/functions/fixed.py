@@ -59,3 +59,31 @@ SUGGEST_PATH, IMPORT_PATH = "/api/suggest", "/api/import/arxiv"
 SUGGEST_BYTES, IMPORT_BYTES = 150000, 2000
 SITE = r"^[a-z0-9]+(?:[.-][a-z0-9]+)*\.[a-z]{2,}$"
 OUT_OF_SCOPE, UNAVAILABLE = "arxiv_out_of_scope", "arxiv_unavailable"
+
+# Fixed values. Shapes of identifiers, and of the addresses they come in.
+DOI_ADDRESS = r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)"
+ARXIV_ADDRESS = r"^https?://(?:www\.)?arxiv.org/(?:abs|pdf)/"
+ARXIV_ID = r"^(?:https://arxiv\.org/abs/)?(\d{2}(?:0[1-9]|1[0-2])\.\d{4,5}(?:v[1-9]\d*)?)$"
+ARXIV_VERSION = r"v\d+$"
+MATHEMATICS = r"^math\.[A-Z]{2}$"
+CATEGORY = r"\(([a-z][a-z0-9-]*(?:\.[A-Za-z-]+)?)\)"
+
+# Fixed values. Shapes of the publishers' pages.
+ARCHIVE_LINK = "/j/{year}/{volume}-[0-9]+[.]html"
+ARCHIVE_RULE = r"(?i)<hr\b[^>]*>"
+ARCHIVE_TITLE = r'(?is)<td\b[^>]*class="[^"]*\bstyle60\b[^"]*"[^>]*>(.*?)</td>'
+CARD = r'(?s)<a\b[^>]*class="publication .*?</a>'
+CARD_PART = r'(?s)class="publication__{part}"[^>]*>(.*?)</(?:h3|div)>'
+CARD_INFO = r"^(Livre|Article|Fascicule) - Tome ([\d-]+)(?: - pp (.*?))? - (\d{4})$"
+PRODUCT = r"productDetailObj\s*=\s*\{"
+PRODUCT_CODE = r"^MEMO/(\d+)/(\d+)$"
+CONTENTS_ITEM = r'(?s)class="product__data-contents--c item-list"[^>]*>\s*(<a\b[^>]*href="[^"]+"[^>]*>.*?</a>)'
+CONTENTS_TITLE = r"(?s)<strong>(.*?)</strong>"
+DISPLAYED_DOI = r"<strong>DOI\s*:</strong>\s*([^<\s]+)"
+PAPER_DOI = r"(?i)<strong>DOI\s*:</strong>\s*([^<]+)"
+SHOWN_TITLE = r"""(?is)<p[^>]*class=["']style12["'][^>]*>(.*?)</p>"""
+SHOWN_ABSTRACT = r"(?is)\bAbstract\s*<blockquote[^>]*>(.*?)</blockquote>"
+ENGLISH_ABSTRACT = r'(?s)<div class="product__data-resume data-english[^"\n]*">(.*?)</div>'
+ARTICLE_ABSTRACT = r'(?s)<article class="article-body edito">(.*?)</article>'
+CITATION_TAG = r"""(?is)<meta\b(?=[^>]*\b(?:name|property)="{name}")[^>]*\bcontent="([^"]*)\""""
+SUBJECTS_CELL = r'(?is)<td\b[^>]*class="[^"]*\bsubjects\b[^"]*"[^>]*>(.*?)</td>'
