@@ -321,8 +321,8 @@ def test_few_or_no_references(spark):
     assert maxscore.best_groups(none, queries, 3)[0].count() == 0 and maxscore.best_groups(index, queries.limit(0), 3)[0].count() == 0
 
 
-@pytest.mark.parametrize("postings", [60, 1 << 20])
-def test_shards_of_counted_texts_score_as_all_pairs(spark, postings):
+@pytest.mark.parametrize(("postings", "broadcast"), [(60, 0), (60, 1000), (1 << 20, 0)])
+def test_shards_of_counted_texts_score_as_all_pairs(spark, postings, broadcast):
     rng = random.Random(12)
     words = ["Straße", "of", "the", "naïve", "x1", "THE", "curve", "b_c"] + [f"w{i}" for i in range(60)]
     texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30))), f"g{i % 4}") for i in range(80)] + [(99, None, "g0")]
@@ -331,7 +331,7 @@ def test_shards_of_counted_texts_score_as_all_pairs(spark, postings):
     want = {}
     for r in index.scores(df.where("id % 9 = 0"), "id", F.col("text")).where("query_id <> id").collect():
         want.setdefault((r["query_id"], texts[r["id"]][2] if r["id"] != 99 else "g0"), []).append(r["score"])
-    shards = maxscore.tfidf_shards(index, df.select("id", "grp"), postings=postings)
+    shards = maxscore.tfidf_shards(index, df.select("id", "grp"), postings=postings, broadcast=broadcast)
     assert (shards.count() > 1) == (postings == 60)
     best, _ = maxscore.best_groups(shards, maxscore.asked(index.query_vectors(df.where("id % 9 = 0"), "id", F.col("text"))), 4)
     got = {(r["query_id"], r["grp"]): r["best"] for r in best.collect()}
