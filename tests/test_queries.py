@@ -1,9 +1,13 @@
 """Every registered query of the library against its SQL in DuckDB."""
 
+import hashlib
+import re
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from winnow.functions import fixed
 from winnow.plans import queries as own
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,6 +43,18 @@ def test_inverted_abstracts_go_over_whole_texts(spark, sf_dir):
     assert {r["doc_id"]: r["words"] for r in own.rebuilt_texts(documents).collect()} == whole
 
 
+def test_abstract_cuts_go_over_whole_texts(spark, sf_dir):
+    rows = own.load(spark, sf_dir, "documents").collect()
+    assert max(len(r["text"]) for r in rows) > 1000
+    want = {}
+    for r in rows:
+        x = f"{r['text']}.{own._ENDS[r['doc_id'] % len(own._ENDS)]}"
+        for p in fixed.ABSTRACT_CUTS:
+            x = re.sub(f"(?is)(?:{p}).*$", "", x, count=1)
+        want[r["doc_id"]] = hashlib.md5(x.encode()).hexdigest()
+    assert {r["doc_id"]: r["digest"] for r in entry.queries()["abstract_cuts"](spark, sf_dir).collect()} == want
+
+
 def test_metadata_variants_go_over_all_events(spark, sf_dir):
     events = own.load(spark, sf_dir, "events").collect()
     rows = entry.queries()["metadata_variants_all"](spark, sf_dir).collect()
