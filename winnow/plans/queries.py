@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions import fixed, numeric, records, text
-from winnow.operators import counts, dedup, evaluation, joins, maxscore, retrieval, rules, sampling
+from winnow.operators import counts, dedup, evaluation, joins, lexical, maxscore, retrieval, rules, sampling
 from winnow.shared import cut, shared_root
 from winnow.sources import files, web
 from winnow.streaming import limiter
@@ -380,13 +380,12 @@ _TFIDF = f"""tok AS (SELECT doc_id, {_TOKENS} AS term FROM documents), tf AS (SE
 
 
 def _lexical(spark, sf_dir, group: str, k: int):
-    """The k best groups of documents for each query, by MaxScore."""
+    """The k best groups of documents for each query."""
     p = papers(spark, sf_dir)
     whole = retrieval.title_and_abstract(F.col("title"), F.col("abstract"))
     index = retrieval.TfIdf(p, "doc_id", whole)
-    shards = maxscore.tfidf_shards(index, p.select(F.col("doc_id").alias("id"), F.col(group).alias("grp")))
     asked = maxscore.asked(index.query_vectors(p.where("doc_id % 100 = 0"), "doc_id", whole))
-    best, _ = maxscore.best_groups(shards, asked, k)
+    best = lexical.best_groups(index, F.col(group), asked, k)
     return best.withColumn("best", F.round("best", 6))
 
 
