@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from winnow.functions import fixed
+from winnow.operators import lexical, maxscore, retrieval
 from winnow.plans import queries as own
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,6 +56,16 @@ def test_abstract_cuts_go_over_whole_texts(spark, sf_dir):
     assert {r["doc_id"]: r["digest"] for r in entry.queries()["abstract_cuts"](spark, sf_dir).collect()} == want
 
 
+def test_lexical_shortlists_go_over_all_texts_and_write_no_postings(spark, sf_dir, monkeypatch):
+    written, plain_kept = [], lexical.kept
+    for module in (lexical, retrieval, maxscore):
+        monkeypatch.setattr(module, "kept", lambda df, name: written.append(name) or plain_kept(df, name))
+    documents = own.load(spark, sf_dir, "documents")
+    got = entry.queries()["lexical_shortlists"](spark, sf_dir).collect()
+    assert not {"shards"} & set(written) and written.count("counted") == 1  # that of the queries
+    assert {r["query_id"] for r in got} == {r["doc_id"] for r in documents.where("doc_id % 100 = 0").collect()} and {r["grp"] for r in got} <= {r["source"] for r in documents.collect()}
+
+
 def test_metadata_variants_go_over_all_events(spark, sf_dir):
     events = own.load(spark, sf_dir, "events").collect()
     rows = entry.queries()["metadata_variants_all"](spark, sf_dir).collect()
